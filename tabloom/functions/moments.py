@@ -18,10 +18,14 @@ def excess_kurtosis(col: Column) -> Column:
     return F.when(n < 4, None).when(F.min(col) == F.max(col), 0.0).otherwise(raw)
 
 
-def entropy_of_counts(count: Column, total: Column, base2: bool = False) -> Column:
-    """Aggregate: -sum p log p over rows that hold one count each."""
-    share = count / total
-    return -F.sum(share * (F.log2(share) if base2 else F.log(share)))
+def entropy_of_counts(count: Column, base2: bool = False) -> Column:
+    """Aggregate over rows that hold one count each: log N - sum(n log n) / N.
+
+    Equal to -sum p log p, without having to join the total back first.
+    """
+    log = F.log2 if base2 else F.log
+    total = F.sum(count)
+    return log(total) - F.sum(count * log(count)) / total
 
 
 def finite(col: Column) -> Column:
