@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["describe"]
+MODULES = ["describe", "preparing"]
 
 
 def load():
