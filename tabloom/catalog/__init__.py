@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["describe", "preparing"]
+MODULES = ["describe", "preparing", "grouping"]
 
 
 def load():
