@@ -14,6 +14,7 @@ import itertools
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ LEVELS = 10
 SPLIT = 4
 PAIR_FACTOR = 8
 MIN_PAIRS = 20_000_000
+LOCAL_EDGES = 200_000
 
 
 def _box(cell: Column, level: int) -> Column:
@@ -153,33 +155,52 @@ def _counts(points: DataFrame, dims: int, eps: float, pair_budget: int | None) -
     return _spread_to_points(points, boxes, single, level, F.sum)
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): smallest start label over connected nodes.
+def _union_find(batches):
+    """(id, label) per linked id, from batches of (a, b); the smaller root always wins."""
+    root: dict = {}
 
-    Each round takes the smallest label among neighbours and then the label's own
-    label, so long chains shrink by more than half per round. A node has few
-    neighbours (adjacent cells), so no join key is crowded; labels, which may be, go
-    through the salted lookup.
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            ra, rb = find(a), find(b)
+            root[max(ra, rb)] = min(ra, rb)
+    ids = list(root)
+    yield pd.DataFrame({"id": ids, "label": [find(i) for i in ids]})
+
+
+def connected_labels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, label): smallest id over connected ids; ids without an edge are absent.
+
+    While there are many edges, each round takes the smallest label among neighbours
+    and then the label's own label, and edges inside a component disappear. The few
+    that are left fit one task.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = settle(both, "links")
-    labels = settle(nodes.select("node", "label"), "labels")
-    first = labels.select(F.col("node").alias("owner"), F.col("label").alias("start"))
-    while True:
-        seen = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        step = labels.join(seen, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
-        step = settle(step, "labels")
-        owners = first.join(step.select(F.col("node").alias("owner"), F.col("label").alias("jump")), "owner").select(F.col("start").alias("label"), "jump")
-        used = owners.join(step.select("label").distinct(), "label", "left_semi")
-        new = lookup_join(step, used, ["label"]).select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        new = settle(new, "labels")
-        changed = not new.where("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-
-
-def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int, pair_budget: int | None = None) -> DataFrame:
+    edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    labels = settle(ids.withColumn("label", F.col("id")), "labels")
+    while edges.limit(local_edges + 1).count() > local_edges:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("other"))
+        hooks = settle(hooks.select("label", F.least("label", "other").alias("up")), "hooks")
+        jump = hooks.select(F.col("label").alias("up"), F.col("up").alias("top"))
+        hooks = settle(lookup_join(hooks, jump, ["up"]).select("label", F.coalesce("top", "up").alias("up")), "hooks")
+        labels = settle(lookup_join(labels, hooks, ["label"]).select("id", F.coalesce("up", "label").alias("label")), "labels")
+        for end in ("a", "b"):
+            edges = lookup_join(edges, hooks.withColumnRenamed("label", end), [end]).withColumn(end, F.coalesce("up", end)).drop("up")
+        edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    kind = edges.schema["a"].dataType.simpleString()
+    rest = edges.coalesce(1).mapInPandas(_union_find, f"id {kind}, label {kind}")
+    last = rest.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return lookup_join(labels, last, ["label"]).select("id", F.coalesce("up", "label").alias("label"))
+
+
+def dbscan(
+    df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int, pair_budget: int | None = None, local_edges: int = LOCAL_EDGES
+) -> DataFrame:
     """(key, cluster, is_core): clusters numbered by their first core row, -1 for noise.
 
     A row that several clusters reach belongs to the lowest-numbered one.
@@ -199,10 +220,15 @@ def dbscan(df: DataFrame, key: str, cols: list[str], eps: float, min_samples: in
         return F.max(F.lit(1))
 
     boxes, single, _ = within_eps(core, core, dims, eps, [], linked, root_pairs_once=True, pair_budget=pair_budget)
-    edges = boxes.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    pairs = boxes.select("a_root", "b_root")
     if single is not None:
-        edges = edges.unionByName(single.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-    owned = _components(cells, edges.distinct())
+        pairs = pairs.unionByName(single.select("a_root", "b_root"))
+    pairs = pairs.distinct()
+    for side in "ab":
+        named = cells.select(F.col("node").alias(f"{side}_root"), F.col("label").alias(side))
+        pairs = pairs.join(named, f"{side}_root")
+    found = connected_labels(pairs.select("a", "b"), local_edges).select(F.col("id").alias("label"), F.col("label").alias("top"))
+    owned = settle(cells.join(found, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "owned")
     names = row_rank(owned.select("label").distinct(), ["label"], "cluster")
     cell_cluster = settle(lookup_join(owned, names, ["label"]).select("node", "cluster"), "clusters")
     labelled = lookup_join(core.withColumn("node", _box(F.col("fine"), 0)), cell_cluster, ["node"]).drop("node")
