@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["describe", "preparing", "grouping"]
+MODULES = ["describe", "preparing", "meta", "grouping", "learning", "assembly"]
 
 
 def load():

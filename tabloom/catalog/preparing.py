@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import h, query, r, rnd, rounded, table
-from tabloom.functions.vectors import pack
-from tabloom.operators import balance, components, correlate, encode, impute, outliers, profile, scale, shared, split
+from tabloom.operators import balance, components, correlate, encode, impute, outliers, scale, shared, split
 from tabloom.plans import prepare
 from tabloom.sources import tables
 
