@@ -18,13 +18,17 @@ MIN_FEATURES = 40
 MIN_ROWS = 3
 
 
+def spectrum_shares(matrix: np.ndarray) -> np.ndarray:
+    values = np.clip(np.linalg.eigvalsh(matrix)[::-1], 0.0, None)
+    return values / values.sum()
+
+
 def explained_shares(corr_rows, d: int) -> list[float]:
     """Explained variance shares of standardised data, from the correlations alone."""
     matrix = np.eye(d)
     for r in corr_rows:
         matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["corr"] or 0.0
-    values = np.clip(np.sort(np.linalg.eigvalsh(matrix))[::-1], 0.0, None)
-    return list(values / values.sum())
+    return list(spectrum_shares(matrix))
 
 
 def components_needed(shares: list[float], variance: float = VARIANCE) -> int:

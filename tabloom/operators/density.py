@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.vectors import pack
-from tabloom.operators.shared import lookup_join, row_rank, settle
+from tabloom.operators.shared import lookup_join, row_rank, settle, settle_counted
 
 LEVELS = 10
 SPLIT = 4
@@ -172,6 +172,12 @@ def _union_find(batches):
     yield pd.DataFrame({"id": ids, "label": [find(i) for i in ids]})
 
 
+def _proper(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct edges from the smaller to the larger id, and how many there are."""
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return settle_counted(ordered.distinct(), "links")
+
+
 def connected_labels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, label): smallest id over connected ids; ids without an edge are absent.
 
@@ -179,10 +185,10 @@ def connected_labels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFr
     and then the label's own label, and edges inside a component disappear. The few
     that are left fit one task.
     """
-    edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    edges, n_edges = _proper(edges)
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     labels = settle(ids.withColumn("label", F.col("id")), "labels")
-    while edges.limit(local_edges + 1).count() > local_edges:
+    while n_edges > local_edges:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("other"))
         hooks = settle(hooks.select("label", F.least("label", "other").alias("up")), "hooks")
@@ -191,7 +197,7 @@ def connected_labels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFr
         labels = settle(lookup_join(labels, hooks, ["label"]).select("id", F.coalesce("up", "label").alias("label")), "labels")
         for end in ("a", "b"):
             edges = lookup_join(edges, hooks.withColumnRenamed("label", end), [end]).withColumn(end, F.coalesce("up", end)).drop("up")
-        edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        edges, n_edges = _proper(edges)
     kind = edges.schema["a"].dataType.simpleString()
     rest = edges.coalesce(1).mapInPandas(_union_find, f"id {kind}, label {kind}")
     last = rest.select(F.col("id").alias("label"), F.col("label").alias("up"))

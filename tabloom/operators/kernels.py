@@ -13,7 +13,16 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.vectors import dot, literal, total
+from tabloom.functions.vectors import literal, total
+
+
+def projection(width: int, gamma: float, seed: int, components: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, np.sqrt(2 * gamma), (width, components)), rng.uniform(0, 2 * np.pi, components)
+
+
+def fourier(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(2.0 / len(b)) * np.cos(x @ w + b)
 
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -32,38 +41,50 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPa
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        d, n = self.getOrDefault(self.width), self.getOrDefault(self.components)
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        w = rng.normal(0.0, np.sqrt(2 * self.getOrDefault(self.gamma)), (d, n))
-        b = rng.uniform(0, 2 * np.pi, n)
+        get = self.getOrDefault
+        w, b = projection(get(self.width), get(self.gamma), get(self.seed), get(self.components))
 
         @F.pandas_udf("array<double>")
         def project(x: pd.Series) -> pd.Series:
-            return pd.Series(list(np.sqrt(2.0 / n) * np.cos(np.stack(x) @ w + b)))
+            return pd.Series(list(fourier(np.stack(x), w, b)))
 
         return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
 
 
-def tube_fit(df: DataFrame, vec: str, label: str, c: float = 1.0, epsilon: float = 0.1, rounds: int = 60) -> list[float]:
-    """Weights (intercept last) of linear epsilon-insensitive regression.
+def tube_fit(
+    df: DataFrame, vec: str, label: str, c: float = 1.0, epsilon: float = 0.1, rounds: int = 40, lift: dict | None = None
+) -> list[float]:
+    """Weights (intercept last) of epsilon-insensitive regression, linear or on Fourier features.
 
-    Minimises |w|^2 / 2 + C * sum of losses by full-batch subgradient steps; each step
-    is one aggregate over the table that brings back one number per weight.
+    Minimises |w|^2 / 2 + C * sum of losses by full-batch subgradient steps. A step is
+    one pass: tasks sum their rows' gradients, Spark adds the sums up, and one number
+    per weight comes back. Fourier features are made inside the tasks, so only the
+    narrow input is kept in memory.
     """
-    first = df.select(F.size(vec).alias("d"), F.lit(1)).first()
-    d = first["d"]
-    stats = df.agg(F.count("*").alias("n"), F.percentile_approx(label, 0.5).alias("m"), F.stddev_pop(label).alias("s")).first()
+    rows = df.select(F.col(vec).alias("x"), F.col(label).alias("y"))
+    stats = rows.agg(F.count("*").alias("n"), F.percentile_approx("y", 0.5).alias("m"), F.stddev_pop("y").alias("s"), F.max(F.size("x")).alias("d")).first()
     n, scale = stats["n"], stats["s"] or 1.0
-    w, mean_w, hist = np.zeros(d + 1), np.zeros(d + 1), np.full(d + 1, 1e-12)
+    w_in, b_in = projection(**lift) if lift else (None, None)
+    d = (lift["components"] if lift else stats["d"]) + 1
+    w, mean_w, hist = np.zeros(d), np.zeros(d), np.full(d, 1e-12)
     w[-1] = stats["m"] or 0.0
     lam, kept = 1.0 / (c * n), 0
-    ext = F.concat(F.col(vec), literal([1.0]))
     for step in range(rounds):
-        gap = F.col(label) - dot(F.col("_x"), literal(w))
-        sign = F.when(gap > epsilon, -1.0).when(gap < -epsilon, 1.0).otherwise(0.0)
-        signed = df.select(ext.alias("_x"), F.col(label)).select("_x", sign.alias("_s")).where("_s <> 0")
-        sums = {r["i"]: r["g"] for r in signed.select("_s", F.posexplode("_x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("_s") * F.col("v")).alias("g")).collect()}
-        grad = np.array([sums.get(i, 0.0) for i in range(d + 1)]) / n
+        def gradient(batches, w=w):
+            total = np.zeros(d)
+            for batch in batches:
+                x = np.stack(batch["x"])
+                if lift:
+                    x = fourier(x, w_in, b_in)
+                gap = batch["y"].to_numpy() - x @ w[:-1] - w[-1]
+                sign = np.where(gap > epsilon, -1.0, np.where(gap < -epsilon, 1.0, 0.0))
+                total[:-1] += sign @ x
+                total[-1] += sign.sum()
+            yield pd.DataFrame({"i": np.arange(d), "g": total})
+
+        sums = rows.mapInPandas(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        grad = np.zeros(d)
+        grad[[r["i"] for r in sums]] = [r["g"] / n for r in sums]
         grad[:-1] += lam * w[:-1]
         hist += grad**2
         w = w - scale * grad / np.sqrt(hist)

@@ -163,7 +163,7 @@ def stages(name: str, task: str, params: dict, info: TrainingFacts, seed: int =
     leaf = params.get("min_samples_leaf", 1)
     if task == "classification":
         if name == "LogisticRegression":
-            return [LogisticRegression(maxIter=2000, regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False)]
+            return [LogisticRegression(maxIter=2000, regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False, tol=1e-6)]
         if name == "DecisionTree":
             return [DecisionTreeClassifier(maxDepth=_depth(params), minInstancesPerNode=leaf, seed=seed)]
         if name == "RandomForest":
@@ -174,9 +174,9 @@ def stages(name: str, task: str, params: dict, info: TrainingFacts, seed: int =
             return [_each_class(GBTClassifier(
                 maxIter=params.get("max_iter", 100), stepSize=params.get("learning_rate", 0.1), maxDepth=_boost_depth(params), minInstancesPerNode=params.get("min_samples_leaf", 20), seed=seed), info)]
         if name == "LinearSVC":
-            return [_each_class(LinearSVC(regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False), info)]
+            return [_each_class(LinearSVC(regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False, tol=1e-4), info)]
         if name == "SVC":
-            svm = LinearSVC(regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False, featuresCol="lifted")
+            svm = LinearSVC(regParam=1.0 / (params.get("C", 1.0) * info.n), standardization=False, featuresCol="lifted", tol=1e-3)
             return [_fourier(params, info, seed), _each_class(svm, info, "lifted")]
     else:
         alpha, n_iter = params.get("alpha", 1.0), params.get("max_iter", 1000)
@@ -288,10 +288,9 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
         return NeighborModel(train.select("row_id", "features", "label"), task, params)
     if name in ("SVR", "LinearSVR"):
         lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": 128} if name == "SVR" else None
-        rows = FourierFeatures(inputCol="features", outputCol="lifted", **lift).transform(train) if lift else train
-        rows = rows.select(vector_to_array("lifted" if lift else "features").alias("x"), "label").persist()
+        rows = train.select(vector_to_array("features").alias("x"), "label").persist()
         try:
-            weights = tube_fit(rows, "x", "label", params.get("C", 1.0), params.get("epsilon", 0.1))
+            weights = tube_fit(rows, "x", "label", params.get("C", 1.0), params.get("epsilon", 0.1), lift=lift)
         finally:
             rows.unpersist()
         return TubeModel(weights, lift)

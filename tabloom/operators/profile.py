@@ -71,21 +71,34 @@ def modes(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     return counts.groupBy(*by, "column").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
 
 
-def within_limit(df: DataFrame, cols: list[str], limit: int = LOW_CARDINALITY) -> dict[str, int | None]:
+def within_limit(df: DataFrame, cols: list[str], limit: int = LOW_CARDINALITY, rough: dict | None = None) -> dict[str, int | None]:
     """Exact distinct count where it is at most ``limit``, else None.
 
-    A sketch screens out columns far above the limit; only the rest are counted
-    exactly, so no high-cardinality column is ever shuffled here.
+    A sketch (``rough`` where already known) screens out columns far above the limit;
+    only the rest are counted exactly, so no high-cardinality column is shuffled here.
     """
     if not cols:
         return {}
-    rough = {r["column"]: r["rough"] for r in wide_stats(df, cols, {"rough": F.approx_count_distinct}).collect()}
+    if rough is None:
+        rough = {r["column"]: r["rough"] for r in wide_stats(df, cols, {"rough": F.approx_count_distinct}).collect()}
     close = [c for c in cols if (rough[c] or 0) <= 10 * limit]
     exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, close).collect()} if close else {}
     counts = {c: exact.get(c, 0) for c in close}
     return {c: counts[c] if c in counts and counts[c] <= limit else None for c in cols}
 
 
+def survey(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """{column: n, share of nulls, mean (numbers), rough distinct count} from one aggregate."""
+    nums = {c for c in cols if is_numeric(df.schema[c].dataType)}
+    none = lambda c: F.lit(None).cast("double")
+    base = {"n": F.count, "share": missing_share, "rough": F.approx_count_distinct}
+    parts = [wide_stats(df, [c for c in cols if c in nums], {**base, "mean": F.avg})] if nums else []
+    texts = [c for c in cols if c not in nums]
+    if texts:
+        parts.append(wide_stats(df, texts, {**base, "mean": none}))
+    return {r["column"]: r.asDict() for part in parts for r in part.collect()}
+
+
 def levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct values of low-cardinality columns (bounded by ``within_limit``)."""
     if not cols:

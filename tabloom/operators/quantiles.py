@@ -20,10 +20,13 @@ SMALL_GROUP = 2_000_000
 BINS = 256
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), small: int = SMALL_GROUP) -> DataFrame:
-    """(by..., column, prob, value), ignoring nulls."""
+def quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), small: int = SMALL_GROUP, n_rows: int | None = None
+) -> DataFrame:
+    """(by..., column, prob, value), ignoring nulls. ``n_rows`` spares a count where the
+    caller knows a bound on the largest group."""
     by = list(by)
-    biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    biggest = n_rows if n_rows is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if biggest <= small:
         return _direct(df, cols, probs, by)
     return long_quantiles(long_numbers(df, cols, by), [*by, "column"], probs)
@@ -83,10 +86,10 @@ def _narrow(values: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
     return hit.select(*keys, "lo", "hi", "rank", (F.col("through") - F.col("n")).alias("below"))
 
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], small: int = SMALL_GROUP) -> dict[str, list[float]]:
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float], small: int = SMALL_GROUP, n_rows: int | None = None) -> dict[str, list[float]]:
     """Quantiles of a whole table as plain values: one short list per column."""
     if not cols:
         return {}
-    rows = quantiles(df, cols, probs, small=small).collect()
+    rows = quantiles(df, cols, probs, small=small, n_rows=n_rows).collect()
     found = {(r["column"], r["prob"]): r["value"] for r in rows}
     return {c: [found.get((c, float(p))) for p in probs] for c in cols}

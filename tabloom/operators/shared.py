@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,17 +25,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tabloom/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", partition: str | None = None) -> DataFrame:
     """Write a result to the shared folder and read it back, cutting its lineage.
 
     Unlike an eager checkpoint the plan runs once, and the copy survives the loss
-    of any executor.
+    of any executor. With ``partition`` later filters on that column read only their part.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """A settled table and its row count, taken while it is written."""
+    seen = Observation()
+    counted = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return counted, seen.get["n"]
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
@@ -77,8 +84,8 @@ def lookup_join(
     that it is repeated ``salts`` times and the large side gets a salt from its own
     content, so that a key holding a large share of the rows spreads over tasks.
     """
-    small = settle(small, "lookup")
-    if small.limit(bound + 1).count() <= bound:
+    small, n_small = settle_counted(small, "lookup")
+    if n_small <= bound:
         return big.join(F.broadcast(small), on, how)
     salt = F.pmod(F.xxhash64(*[quoted(c) for c in big.columns]), F.lit(salts)).cast("int")
     spread = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
