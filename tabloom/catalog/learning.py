@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import h, query, r, rnd, rounded, table
-from tabloom.operators import cluster, learners, metrics, select, split
+from tabloom.operators import cluster, learners, metrics, select, shared, split
 from tabloom.plans import search
 from tabloom.sources import results
+from tabloom.sources.tables import spread
 
 KEY = fx.LINE_KEY
 
 
-def _line_rows(spark, sf, label="l_extendedprice", features=("l_quantity", "l_discount", "l_tax", "l_linenumber"), scale=True):
-    """Learner rows of lineitem with its hash split."""
-    df = split.hash_split(table(spark, sf, "lineitem"), KEY)
-    y = F.col(label).cast("double") if label == "l_extendedprice" else F.ascii(label).cast("double")
+def _line_rows(spark, sf, label="l_extendedprice", features=("l_quantity", "l_discount", "l_tax", "l_linenumber")):
+    """Learner rows of lineitem with its hash split, written once and then read per split."""
+    df = split.hash_split(spread(table(spark, sf, "lineitem")), KEY)
+    y = F.col(label)
     if label == "l_returnflag":
-        y = F.when(F.col(label) == "A", 0.0).when(F.col(label) == "N", 1.0).otherwise(2.0)
-    if label == "l_linestatus":
-        y = (F.col(label) == "O").cast("double")
-    return learners.to_rows(df, KEY, list(features), y)
+        y = F.when(y == "A", 0.0).when(y == "N", 1.0).otherwise(2.0)
+    elif label == "l_linestatus":
+        y = y == "O"
+    return shared.settle(learners.to_rows(df, KEY, list(features), y.cast("double")), "rows", partition="split")
 
 
 # --- linear learners with closed forms -------------------------------------
@@ -31,9 +32,9 @@ _SUMS = f"""{_TRAIN}, s AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) A
 
 
 def _one_feature(spark, sf):
-    df = split.hash_split(table(spark, sf, "lineitem"), KEY).where("split = 'train'")
+    df = split.hash_split(spread(table(spark, sf, "lineitem")), KEY).where("split = 'train'")
     df = df.withColumn("x", F.col("l_quantity") / 50).withColumn("y", F.col("l_extendedprice") / 10000)
-    return learners.to_rows(df, KEY, ["x"], F.col("y"))
+    return shared.settle(learners.to_rows(df, KEY, ["x"], F.col("y")), "rows")
 
 
 def _terms(spark, sf, name, params, digits=5):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +37,9 @@ def settle(df: DataFrame, name: str = "table", partition: str | None = None) ->
 
 
 def settle_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
-    """A settled table and its row count, taken while it is written."""
-    seen = Observation()
-    counted = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return counted, seen.get["n"]
+    """A settled table and its row count, read from the written files."""
+    settled = settle(df, name)
+    return settled, settled.count()
 
 
 def is_numeric(dtype: T.DataType) -> bool:

@@ -19,6 +19,16 @@ def read_table(spark: SparkSession, path: str, extra_tokens: list[str] = EXTRA_N
     return typed(text) if infer else text
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over at least as many partitions as there are cores.
+
+    Only tables with fewer partitions, that is small ones, are moved; use it before
+    work that goes over the rows many times.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def typed(text: DataFrame) -> DataFrame:
     """One aggregate decides all column types."""
     fits = {
