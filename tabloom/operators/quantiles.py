@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, for columns of any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is
-used while groups are small; larger ones are bracketed: each pass counts the values
+used while a group has few cells (rows times columns); larger ones are bracketed: each pass counts the values
 of a bracket in 256 bins and keeps only the bin that holds the wanted rank, until a
 bracket contains a single distinct value. Only bin counts are shuffled.
 """
@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from tabloom.functions.moments import equal_width_bin
 from tabloom.operators.shared import long_numbers, lookup_join, settle
 
-SMALL_GROUP = 2_000_000
+SMALL_CELLS = 4_000_000
 BINS = 256
 
 
 def quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), small: int = SMALL_GROUP, n_rows: int | None = None
+    df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), small: int = SMALL_CELLS, n_rows: int | None = None
 ) -> DataFrame:
     """(by..., column, prob, value), ignoring nulls. ``n_rows`` spares a count where the
     caller knows a bound on the largest group."""
     by = list(by)
     biggest = n_rows if n_rows is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= small:
+    if biggest * len(cols) <= small:
         return _direct(df, cols, probs, by)
     return long_quantiles(long_numbers(df, cols, by), [*by, "column"], probs)
 
@@ -86,7 +86,7 @@ def _narrow(values: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
     return hit.select(*keys, "lo", "hi", "rank", (F.col("through") - F.col("n")).alias("below"))
 
 
-def quantile_map(df: DataFrame, cols: list[str], probs: list[float], small: int = SMALL_GROUP, n_rows: int | None = None) -> dict[str, list[float]]:
+def quantile_map(df: DataFrame, cols: list[str], probs: list[float], small: int = SMALL_CELLS, n_rows: int | None = None) -> dict[str, list[float]]:
     """Quantiles of a whole table as plain values: one short list per column."""
     if not cols:
         return {}

@@ -80,13 +80,14 @@ def lookup_join(
     """Join a large table to a table with few rows per key.
 
     The lookup side is counted first. Up to ``bound`` rows it is broadcast; beyond
-    that it is repeated ``salts`` times and the large side gets a salt from its own
-    content, so that a key holding a large share of the rows spreads over tasks.
+    that it is repeated ``salts`` times and the large side gets a salt from its content
+    and partition, so that a key holding a large share of the rows, or copies of one
+    row, spread over tasks; the salt stays the same when a task is run again.
     """
     small, n_small = settle_counted(small, "lookup")
     if n_small <= bound:
         return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in big.columns]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[quoted(c) for c in big.columns]), F.lit(salts)).cast("int")
     spread = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return big.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
 
