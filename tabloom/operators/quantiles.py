@@ -1,7 +1,8 @@
 """Exact quantiles with linear interpolation, for columns of any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is
-used while a group has few cells (rows times columns); larger ones are bracketed: each pass counts the values
+used for groups of moderate size, on as few columns at a time as keeps rows times
+columns within a bound; larger groups are bracketed: each pass counts the values
 of a bracket in 256 bins and keeps only the bin that holds the wanted rank, until a
 bracket contains a single distinct value. Only bin counts are shuffled.
 """
@@ -27,8 +28,10 @@ def quantiles(
     caller knows a bound on the largest group."""
     by = list(by)
     biggest = n_rows if n_rows is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if biggest * len(cols) <= small:
-        return _direct(df, cols, probs, by)
+    if biggest <= small:
+        width = max(1, small // max(biggest, 1))
+        chunks = [cols[i : i + width] for i in range(0, len(cols), width)]
+        return reduce(DataFrame.unionByName, [_direct(df, chunk, probs, by) for chunk in chunks])
     return long_quantiles(long_numbers(df, cols, by), [*by, "column"], probs)
 
 
