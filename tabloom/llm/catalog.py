@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.catalog.registry import table
-from tabloom.llm import bpe, mixing, quality, secrets, sharding, warc
+from tabloom.llm import bpe, jaccard, mixing, quality, secrets, sharding, warc
 from tabloom.operators.shared import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -64,6 +64,11 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("_tl_row")
 
 
+@query("op8_jaccard_components")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op9_mix_sources")
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))

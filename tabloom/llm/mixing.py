@@ -87,7 +87,10 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float = MOST, rounds: int
     return state.select("_tl_source", "_tl_mean", "_tl_tilt")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+def mix(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST,
+    draw: str | None = None,
+) -> DataFrame:
     """key, size, source_size, target, taken, copies for every row.
 
     Rates are rounded into copies twice. A source's cells (documents of one size, whose
@@ -95,14 +98,14 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     up for what the cells before it took too much or too little, so a source ends
     within half of its shortest document of the target (unless the limit of copies binds).
     Within a cell, copies are dealt evenly; the odd ones go to the documents with the lowest
-    draw of their key. Cells of one source are put in an array: they are as many as there
+    draw of their key (or of the column ``draw``). Cells of one source are put in an array: they are as many as there
     are different lengths of text, whatever the number of documents.
 
     Null text: size 0, nothing taken. A null source is a source of its own, last in the
     order. Repeated rows and null keys are rows like any other. A source without words has
     target 0. Empty table: no rows. Extra columns are ignored.
     """
-    rows = df.select(quoted(key).alias(key), quoted(source).alias("_tl_source"), word_count(text_of(text)).alias("_tl_size"))
+    rows = df.select(quoted(key).alias(key), quoted(source).alias("_tl_source"), word_count(text_of(text)).alias("_tl_size"), F.md5(F.coalesce(quoted(draw or key).cast("string"), F.lit("null:"))).alias("_tl_draw"))
     rows = settle(rows, "sizes")
     cells = settle(rows.groupBy("_tl_source", "_tl_size").agg(F.count(F.lit(1)).alias("_tl_rows")), "cells")
     sizes = cells.groupBy("_tl_source").agg(F.sum(F.col("_tl_size") * F.col("_tl_rows")).alias("_tl_total"))
@@ -123,8 +126,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     dealt = rated.groupBy("_tl_source").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     dealt = dealt.select("_tl_source", F.explode(F.aggregate("cells", start, deal)["out"]).alias("d"))
     dealt = dealt.select("_tl_source", F.col("d.size").alias("_tl_size"), F.col("d.rows").alias("_tl_rows"), F.col("d.copies").alias("_tl_copies"))
-    drawn = rows.withColumn("_tl_draw", F.md5(F.coalesce(quoted(key).cast("string"), F.lit("null:"))))
-    placed = grouped_rank(drawn, ["_tl_source", "_tl_size"], ["_tl_draw"], "_tl_place").alias("p")
+    placed = grouped_rank(rows, ["_tl_source", "_tl_size"], ["_tl_draw"], "_tl_place").alias("p")
     same = F.col("p._tl_source").eqNullSafe(F.col("d._tl_source")) & (F.col("p._tl_size") == F.col("d._tl_size"))
     extra = F.col("_tl_place") < F.col("d._tl_copies") % F.col("d._tl_rows")
     copies = F.coalesce(F.floor(F.col("d._tl_copies") / F.col("d._tl_rows")) + extra.cast("long"), F.lit(0)).cast("long")
@@ -133,3 +135,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return out.select(
         F.col(f"t.`{key}`").alias(key), "size", F.col("_tl_total").alias("source_size"), F.col("_tl_target").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+def mixed_documents(df: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
+    """The rows of ``df`` with all columns, each as often as the mix takes it."""
+    rows = df.withColumn("_tl_row", F.monotonically_increasing_id())
+    copies = mix(rows, "_tl_row", draw=key, **rules).where("copies > 0").select("_tl_row", F.col("copies").cast("int").alias("_tl_copies"))
+    many = rows.join(copies, "_tl_row").withColumn("_tl_copy", F.explode(F.sequence(F.lit(1), F.col("_tl_copies"))))
+    return many.select(*[quoted(c) for c in df.columns])

@@ -11,7 +11,7 @@ from tabloom.operators.shared import quoted, settle
 #: Buckets of the hashed n-grams (one- and two-word); the weight table has as many rows.
 BUCKETS = 1 << 18
 #: Mean log ratio below which a document is not like the trusted ones. Nats an n-gram.
-THRESHOLD = -0.5
+THRESHOLD = -0.35
 #: Added to every bucket's count, as a share of an even spread.
 SMOOTHING = 0.5
 
@@ -115,7 +115,8 @@ def judge(
     no rows. Extra columns are ignored. ``labels`` (key, quality) is joined to the documents
     by key for the counts; nothing else moves texts.
     """
-    rows = df.select(quoted(key).alias(key), text_of(text).alias("_tl_text"), F.monotonically_increasing_id().alias("_tl_row"))
+    row = F.col("_tl_row") if "_tl_row" in df.columns else F.monotonically_increasing_id()
+    rows = df.select(quoted(key).alias(key), text_of(text).alias("_tl_text"), row.alias("_tl_row"))
     marks = labels.groupBy(quoted(key).alias(key)).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_tl_quality")).where("_tl_quality = 1").select(key)
     weights = fit_weights(rows.select("_tl_text"), rows.join(marks, key, "left_semi").select("_tl_text"), buckets)
     weights = settle(weights, "weights")
@@ -128,3 +129,10 @@ def judge(
         quoted(key).alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", "_tl_row",
     )
+
+
+def filter_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
+    """The rows of ``df`` that `judge` keeps, with all columns, each row by itself."""
+    rows = df.withColumn("_tl_row", F.monotonically_increasing_id())
+    kept = judge(rows, labels, key, text, **rules).where("kept").select("_tl_row")
+    return rows.join(kept, "_tl_row", "left_semi").select(*[quoted(c) for c in df.columns])
