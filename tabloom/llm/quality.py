@@ -11,9 +11,9 @@ from tabloom.operators.shared import quoted, settle
 #: Buckets of the hashed n-grams (one- and two-word); the weight table has as many rows.
 BUCKETS = 1 << 18
 #: Mean log ratio below which a document is not like the trusted ones. Nats an n-gram.
-THRESHOLD = -0.35
-#: Added to every bucket's count, as a share of an even spread.
-SMOOTHING = 0.5
+THRESHOLD = -0.3
+#: Added to every bucket's count, in occurrences among the trusted texts.
+SMOOTHING = 5.0
 
 
 def repeated_words(hashes: Column, width: int = 5) -> Column:
@@ -62,8 +62,9 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
 
     ``docs`` and ``trusted`` have a column _tl_text. Counts cover every n-gram of every
     document; they are summed in the tasks, so at most ``buckets`` rows leave a task.
-    Both shares are smoothed, so every bucket has a finite weight; buckets that
-    no document has are not in the table.
+    Both counts get ``smoothing`` occurrences at the size of the trusted corpus, so that a
+    bucket that hardly occurs says little, and the weights are alike for corpora of any
+    size. Buckets that no document has are not in the table.
     """
 
     def counts(df: DataFrame, name: str) -> DataFrame:
@@ -76,10 +77,8 @@ def fit_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
     if not n_good:
         return raw.select("bucket", F.lit(0.0).alias("weight"))
     joined = raw.join(good, "bucket", "left")
-    # The trusted share shrinks towards the raw one: a bucket both corpora hardly have says little.
-    prior = (F.col("raw") + F.lit(smoothing)) / F.lit(n_raw + smoothing * buckets)
-    share = (F.coalesce("good", F.lit(0)) + F.lit(smoothing * buckets) * prior) / F.lit(n_good + smoothing * buckets)
-    return joined.select("bucket", F.ln(share / prior).alias("weight"))
+    expected = F.col("raw") * F.lit(n_good / n_raw) + F.lit(smoothing)
+    return joined.select("bucket", F.ln((F.coalesce("good", F.lit(0)) + F.lit(smoothing)) / expected).alias("weight"))
 
 
 def score(df: DataFrame, weights: DataFrame, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
