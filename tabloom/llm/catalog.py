@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import table
-from tabloom.llm import bpe, jaccard, mixing, quality, secrets, sharding, warc
+from tabloom.llm import bpe, chat, jaccard, licenses, mixing, quality, secrets, sharding, topk, warc
 from tabloom.operators.shared import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -25,6 +26,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+_SHINGLES = "list_transform(range(greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' '))"
+
+
+#: Every window against every template, without bands.
+@query("op1_license_scan", f"""
+WITH t AS (SELECT template, license, list_distinct({_SHINGLES}) AS s, (2 ** ceil(log2(len({_SHINGLES}))))::BIGINT AS size
+  FROM (SELECT template, license, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(template, license, text))),
+d AS (SELECT doc_id, {_SHINGLES} AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+touched AS (SELECT d.* FROM d, (SELECT flatten(list(s)) AS every FROM t) WHERE list_has_any(h, every)),
+win AS (SELECT doc_id, size, pos, h[pos + 1:pos + 2 * size] AS win FROM (
+  SELECT doc_id, h, size, unnest(range(0, size * (greatest(ceil(len(h) / size)::BIGINT - 2, 0) + 1), size)) AS pos FROM touched, (SELECT DISTINCT size FROM t))),
+hit AS (SELECT doc_id, license, template, pos, len(list_intersect(win, s)) / len(s) AS c, len(list_intersect(win, s)) * 100 >= 75 * len(s) AS good FROM win JOIN t USING (size))
+SELECT doc_id, license, template, max(c) AS containment, count(*) AS n_windows, min(pos) AS first_word FROM hit WHERE good GROUP BY ALL""")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op2_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -64,6 +84,29 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("_tl_row")
 
 
+@query("op6_top_inner_products", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op7_chat_snapshots", """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM t),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY place) AS turns FROM p GROUP BY conv_id),
+kept AS (SELECT conv_id FROM c a WHERE NOT EXISTS (
+  SELECT 1 FROM c b WHERE b.turns[1:len(a.turns)] = a.turns AND (len(b.turns) > len(a.turns) OR b.conv_id < a.conv_id)))
+SELECT conv_id, (place // 64)::INT AS part, count(*) AS n_turns,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM p JOIN kept USING (conv_id) GROUP BY ALL""")
+def chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.collapse(table(spark, folder, "conversations"))
+
+
 @query("op8_jaccard_components")
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
