@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import table
 from tabloom.llm import bpe, chat, jaccard, licenses, mixing, quality, secrets, sharding, topk, warc
+from tabloom.llm.common import TEXT_KEY
 from tabloom.operators.shared import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -81,7 +82,7 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("_tl_row")
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop(*TEXT_KEY)
 
 
 @query("op6_top_inner_products", """

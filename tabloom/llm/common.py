@@ -21,6 +21,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
+#: Two hashes of a text, by which rows find what depends on nothing but their text.
+TEXT_KEY = ["_tl_text_a", "_tl_text_b"]
+#: Two hashes of a whole row.
+ROW_KEY = ["_tl_row_a", "_tl_row_b"]
+
+
+def _two_hashes(names: list[str], *values: Column) -> list[Column]:
+    return [F.xxhash64(*values).alias(names[0]), F.xxhash64(F.lit("second"), *values).alias(names[1])]
+
+
+def text_hashes(text: Column) -> list[Column]:
+    return _two_hashes(TEXT_KEY, text)
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Adds hashes of the row's content. Unlike a row number they are the same whenever the
+    plan runs again, whatever its partitions; rows that are equal in all columns share them."""
+    values = [part for c in df.columns for part in (quoted(c), quoted(c).isNull())]
+    return df.withColumns(dict(zip(ROW_KEY, _two_hashes(ROW_KEY, *values), strict=True)))
+
+
+def rows_by_key(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that have a row key joined to ``found`` (row key, n, ...), each key's row once.
+
+    ``n`` is how many rows of the input have the key. Only if some have several are
+    rows with equal keys made one.
+    """
+    joined = rows.join(found, ROW_KEY)
+    if found.where("n > 1").limit(1).count():
+        joined = joined.dropDuplicates(ROW_KEY)
+    return joined
+
+
 def shingle_hashes(words: Column, n: Column, width: int) -> Column:
     """One 64-bit hash per run of ``width`` words, in order; empty with fewer words.
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import shingle_hashes, text_of, words_of
+from tabloom.llm.common import TEXT_KEY, shingle_hashes, text_hashes, text_of, words_of
 from tabloom.operators.shared import quoted, settle
 
 #: Buckets of the hashed n-grams (one- and two-word); the weight table has as many rows.
 BUCKETS = 1 << 18
 #: Mean log ratio below which a document is not like the trusted ones. Nats an n-gram.
 THRESHOLD = -0.3
+#: Trusted documents that the target multinomial is fitted on, at most: those with the
+#: lowest hashes of their keys. All documents count for the corpus multinomial.
+TRUSTED_MOST = 20_000
 #: Added to every bucket's count, in occurrences among the trusted texts.
 SMOOTHING = 5.0
 
@@ -98,40 +101,42 @@ def score(df: DataFrame, weights: DataFrame, keep: list[str], buckets: int = BUC
 
 def judge(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD,
-    least_words: int = 10, most_repeated: int = 20,
+    least_words: int = 10, most_repeated: int = 20, trusted_most: int = TRUSTED_MOST,
 ) -> DataFrame:
-    """key, the rule columns, base_failed, score and kept, for every row; also _tl_row.
+    """key, the rule columns, base_failed, score and kept, for every row; also _tl_text_a and _tl_text_b.
 
     A document fails the base rules with fewer than ``least_words`` words, or with
     more than ``most_repeated`` percent of them in repeated five-word runs. Of the others
     those are kept whose n-grams are, on average, at least exp(threshold) times as likely
     under the trusted multinomial as under that of the whole corpus. Trusted are documents
-    with a label and no label other than quality 1. The score is a mean, so length does not
-    move the threshold.
+    with a label and no label other than quality 1; the target multinomial is fitted on
+    those of at most ``trusted_most`` keys, the lowest by hash. The score is a mean, so
+    length does not move the threshold.
 
     Null text: no words, not kept. Null keys: counted in the corpus, never trusted, judged.
     Repeated rows are judged each. Without trusted documents all scores are 0. Empty table:
-    no rows. Extra columns are ignored. ``labels`` (key, quality) is joined to the documents
-    by key for the counts; nothing else moves texts.
+    no rows. Extra columns are ignored. ``labels`` has (key, quality). No text moves:
+    the trusted keys, a bounded list, are broadcast.
     """
-    row = F.col("_tl_row") if "_tl_row" in df.columns else F.monotonically_increasing_id()
-    rows = df.select(quoted(key).alias(key), text_of(text).alias("_tl_text"), row.alias("_tl_row"))
-    marks = labels.groupBy(quoted(key).alias(key)).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_tl_quality")).where("_tl_quality = 1").select(key)
-    weights = fit_weights(rows.select("_tl_text"), rows.join(marks, key, "left_semi").select("_tl_text"), buckets)
+    # Equal texts have equal scores, so a row finds its score by the hashes of its text.
+    rows = df.select(quoted(key).alias(key), text_of(text).alias("_tl_text"), *text_hashes(text_of(text)))
+    marks = labels.groupBy(quoted(key).alias(key)).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_tl_quality")).where(f"_tl_quality = 1 and `{key}` is not null")
+    marks = settle(marks.orderBy(F.xxhash64(quoted(key)), quoted(key)).limit(trusted_most).select(quoted(key).alias(key)), "trusted")
+    weights = fit_weights(rows.select("_tl_text"), rows.join(F.broadcast(marks), key, "left_semi").select("_tl_text"), buckets)
     weights = settle(weights, "weights")
-    scores = score(rows, weights, ["_tl_row"], buckets)
+    scores = score(rows, weights, TEXT_KEY, buckets)
     ruled = rule_counts(rows).drop("_tl_words", "_tl_text")
-    out = ruled.join(scores, "_tl_row", "left")
+    out = ruled.join(scores, TEXT_KEY, "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "score": F.coalesce("score", F.lit(0.0))})
     return out.select(
         quoted(key).alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", "_tl_row",
+        (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score", *TEXT_KEY,
     )
 
 
 def filter_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
-    """The rows of ``df`` that `judge` keeps, with all columns, each row by itself."""
-    rows = df.withColumn("_tl_row", F.monotonically_increasing_id())
-    kept = judge(rows, labels, key, text, **rules).where("kept").select("_tl_row")
-    return rows.join(kept, "_tl_row", "left_semi").select(*[quoted(c) for c in df.columns])
+    """The rows of ``df`` that `judge` keeps, with all columns; equal texts fare alike."""
+    rows = df.withColumns(dict(zip(TEXT_KEY, text_hashes(text_of(text)), strict=True)))
+    kept = judge(df, labels, key, text, **rules).where("kept").select(*TEXT_KEY).distinct()
+    return rows.join(kept, TEXT_KEY, "left_semi").select(*[quoted(c) for c in df.columns])
