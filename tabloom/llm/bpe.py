@@ -23,7 +23,7 @@ RUN = 10_000
 #: Between a letter or digit and ASCII white space or punctuation other than an
 #: apostrophe, no match of the pattern goes on, and none looks back.
 SAFE = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ一-鿿ぁ-ゖァ-ヺ가-힣](?=[ \n\t.,;:!?)\]}、。])")
-LONG_RUN = re.compile(rf"\s{{{RUN},}}")
+LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
 
 
 @lru_cache(maxsize=4)
