@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import grouped_rank, text_of
+from tabloom.llm.common import ROW_KEY, grouped_rank, rows_by_key, text_of, with_row_key
 from tabloom.operators.shared import quoted, row_rank, settle
 
 #: Weights of sources by code point, repeating.
@@ -139,7 +139,9 @@ def mix(
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
     """The rows of ``df`` with all columns, each as often as the mix takes it."""
-    rows = df.withColumn("_tl_row", F.monotonically_increasing_id())
-    copies = mix(rows, "_tl_row", draw=key, **rules).where("copies > 0").select("_tl_row", F.col("copies").cast("int").alias("_tl_copies"))
-    many = rows.join(copies, "_tl_row").withColumn("_tl_copy", F.explode(F.sequence(F.lit(1), F.col("_tl_copies"))))
+    rows = with_row_key(df)
+    own = F.struct(*ROW_KEY)
+    copies = mix(rows.withColumn("_tl_own", own), "_tl_own", draw=key, **rules)
+    total = copies.groupBy(*[F.col(f"_tl_own.{c}").alias(c) for c in ROW_KEY]).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").cast("int").alias("_tl_copies"))
+    many = rows_by_key(rows, settle(total.where("_tl_copies > 0"), "copies")).withColumn("_tl_copy", F.explode(F.sequence(F.lit(1), F.col("_tl_copies"))))
     return many.select(*[quoted(c) for c in df.columns])
