@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import h, query, r, rnd, rounded, table
 from tabloom.functions.draws import hash32
-from tabloom.operators import clean, components, correlate, information, profile, shared
+from tabloom.operators import clean, components, correlate, impute, information, profile, shared
 from tabloom.operators.quantiles import quantiles
 from tabloom.sources import tables
 
@@ -68,6 +68,29 @@ def bracketed_quantiles(spark, sf):
     return rounded(out, ["value"])
 
 
+_ODD_SQL = "odd AS (SELECT event_id, event_type, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 THEN value END AS value FROM events)"
+
+
+def _odd(spark, sf):
+    """Events with NaN, infinities and nulls among the values."""
+    value = (F.when(F.col("event_id") % 11 == 0, float("nan")).when(F.col("event_id") % 13 == 0, float("inf"))
+             .when(F.col("event_id") % 17 != 0, F.col("value")))
+    return table(spark, sf, "events").select("event_id", "event_type", value.alias("value"))
+
+
+@query("quantiles_nonfinite", f"WITH {_ODD_SQL} " + "\nUNION ALL ".join(
+    f"SELECT event_type, 'value' AS \"column\", {p}::DOUBLE AS prob, {r(f'quantile_cont(value, {p})')} AS value FROM odd GROUP BY event_type"
+    for p in PROBS))
+def quantiles_nonfinite(spark, sf):
+    return rounded(quantiles(_odd(spark, sf), ["value"], PROBS, ["event_type"], small=0), ["value"])
+
+
+@query("impute_nonfinite", f"WITH {_ODD_SQL} SELECT event_id, {r('coalesce(value, (SELECT avg(value) FROM odd))')} AS value FROM odd")
+def impute_nonfinite(spark, sf):
+    df = _odd(spark, sf)
+    return rounded(impute.apply_impute(df, impute.fit_impute(df, ["value"])).select("event_id", "value"), ["value"])
+
+
 _EVENT_COLS = ["event_id", "user_id", "ts", "event_type", "props", "value"]
 _MISSING = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _EVENT_COLS)
 
@@ -99,13 +122,15 @@ def corr_matrix(spark, sf):
     return rounded(correlate.correlation_pairs(fx.corr_pairs(spark, sf), fx.CORR_COLS), ["corr"])
 
 
-WIDE = [f"v{i}" for i in range(1, 17)]
-_WIDE_SQL = "wide AS (SELECT " + ", ".join(f"embedding[{i}]::DOUBLE AS v{i}" for i in range(1, 17)) + " FROM embeddings)"
+WIDE = [f"v{i}" for i in range(1, 65)]
+_WIDE_SQL = "wide AS (SELECT " + ", ".join(f"CASE WHEN vec_id % {i + 6} <> 0 THEN embedding[{i}]::DOUBLE END AS v{i}" for i in range(1, 65)) + " FROM embeddings)"
 
 
 @query("corr_wide", f"WITH {_WIDE_SQL}, c AS ({_corr_union(WIDE, 'wide')}) SELECT i, j, \"left\", \"right\", {r('c')} AS corr FROM c")
 def corr_wide(spark, sf):
-    df = table(spark, sf, "embeddings").select(*[F.col("embedding")[i - 1].cast("double").alias(f"v{i}") for i in range(1, 17)])
+    """All columns, each with gaps of its own: every pair has other rows."""
+    values = [F.when(F.col("vec_id") % (i + 6) != 0, F.col("embedding")[i - 1].cast("double")).alias(f"v{i}") for i in range(1, 65)]
+    df = table(spark, sf, "embeddings").select(*values)
     return rounded(correlate.correlation_pairs(df, WIDE), ["corr"])
 
 
@@ -172,7 +197,7 @@ def pca_fraction(spark, sf):
     cols = ["l_quantity", "l_extendedprice"]
     shares = components.explained_shares(correlate.correlation_pairs(df, cols).collect(), 2)
     needed = components.components_needed(shares) / 2
-    return df.limit(1).select(rnd(F.lit(float(shares[0]))).alias("first_share"), F.lit(needed).alias("pca_fraction_95"))
+    return rounded(spark.createDataFrame([(float(shares[0]), needed)], "first_share double, pca_fraction_95 double"), ["first_share"])
 
 
 @query("cumulative_share", f"""WITH v AS ({_union("SELECT '{c}' AS \"column\", var_samp({c}) AS v FROM lineitem", NUMS)})
@@ -251,6 +276,15 @@ def is_monotonic(spark, sf):
     return shared.is_monotonic(df, "at", ["l_linenumber", "l_orderkey"])
 
 
+@query("is_monotonic_nulls", "\nUNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", bool_and(v IS NOT NULL AND coalesce(v >= p, TRUE)) AS is_monotonic FROM (SELECT {sql} AS v, lag({sql}) OVER (ORDER BY event_id) AS p FROM events)"
+    for name, sql in (("up", "event_id"), ("gaps", "CASE WHEN event_id % 5 <> 0 THEN event_id END"), ("falls", "event_id % 100"))))
+def is_monotonic_nulls(spark, sf):
+    at = F.col("event_id")
+    df = table(spark, sf, "events").select("event_id", at.alias("up"), F.when(at % 5 != 0, at).alias("gaps"), (at % 100).alias("falls"))
+    return shared.is_monotonic(df, "event_id", ["up", "gaps", "falls"])
+
+
 def _date_parts(c: str, expr: str, source: str) -> str:
     return ", ".join([
         f"year({expr})::INT AS {c}_year", f"month({expr})::INT AS {c}_month", f"day({expr})::INT AS {c}_day", f"(isodow({expr}) - 1)::INT AS {c}_weekday",

@@ -35,10 +35,6 @@ def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: rnd(c, digits) for c in cols})
 
 
-def longs(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in cols})
-
-
 def h(*parts: str) -> str:
     """The md5 draw in SQL."""
     return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT"

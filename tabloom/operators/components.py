@@ -36,14 +36,6 @@ def components_needed(shares: list[float], variance: float = VARIANCE) -> int:
     return int(np.argmax(reached)) + 1 if reached.any() else len(shares)
 
 
-def component_fraction(df: DataFrame, cols: list[str], variance: float = VARIANCE) -> float | None:
-    """Share of the components that explains the wanted variance; None for one column."""
-    if len(cols) < 2:
-        return None
-    shares = explained_shares(correlation_pairs(df, cols).collect(), len(cols))
-    return components_needed(shares, variance) / len(cols)
-
-
 @dataclass
 class Components:
     """Projection on the leading components of centred columns."""

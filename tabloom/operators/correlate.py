@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.moments import finite
 from tabloom.operators.profile import wide_stats
 from tabloom.operators.shared import quoted
 
@@ -19,8 +20,9 @@ PRUNE_LIMIT = 0.95
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """(i, j, left, right, corr) for i < j in column order; null where a column is constant.
 
-    Narrow tables use one aggregate of ``corr`` expressions; wide ones a matrix
-    aggregated per partition. Only columns x columns values leave the cluster.
+    Every pair uses the rows where both values are there and finite, at any width. Narrow
+    tables take one aggregate of ``corr`` expressions; wide ones sum columns x columns
+    products in each task (`_products`), and only those sums move.
     """
     d = len(cols)
     pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
@@ -29,7 +31,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     if not pairs:
         return spark.createDataFrame([], schema)
     if d <= WIDE_COLUMNS:
-        values = df.select(*[quoted(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)])
+        values = df.select(*[finite(quoted(c)).alias(f"x{k}") for k, c in enumerate(cols)])
         flat = values.agg(*[F.corr(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
         entries = [
             F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("left"), F.lit(cols[j]).alias("right"),
@@ -37,12 +39,38 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
             for i, j in pairs
         ]
         return flat.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    vectors = VectorAssembler(inputCols=cols, outputCol="v", handleInvalid="skip").transform(
-        df.select(*[quoted(c).cast("double").alias(c) for c in cols])
-    )
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    rows = [(i, j, cols[i], cols[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j])) for i, j in pairs]
-    return spark.createDataFrame(rows, schema)
+    found = _products(df, cols)
+    n, xy, sx, sy, xx, yy = (F.col(c) for c in ["n", "xy", "sx", "sy", "xx", "yy"])
+    spread = (n * xx - sx * sx) * (n * yy - sy * sy)
+    corr = F.when(((n * xx - sx * sx) > 1e-12 * n * xx) & ((n * yy - sy * sy) > 1e-12 * n * yy), (n * xy - sx * sy) / F.sqrt(spread))
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select("i", "j", F.get(names, F.col("i")).alias("left"), F.get(names, F.col("j")).alias("right"), corr.alias("corr"))
+
+
+def _products(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, n, sx, sy, xx, yy, xy) for i < j over the rows where both values are there.
+
+    Values are taken from a first mean, so that sums of squares keep their digits.
+    """
+    values = df.select(*[finite(quoted(c)).alias(f"x{k}") for k, c in enumerate(cols)])
+    means = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in values.columns]).first()
+    centres, d = np.array([means[c] for c in values.columns]), len(cols)
+    upper = np.triu_indices(d, 1)
+    fields = ["n", "sx", "sy", "xx", "yy", "xy"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan) - centres
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
+            m, squares = there.astype(float), x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, squares.T @ m, m.T @ squares, x.T @ x])
+        sums = {name: table[upper] for name, table in zip(fields, total, strict=True)}
+        yield pd.DataFrame({"i": upper[0].astype("int32"), "j": upper[1].astype("int32"), **sums})
+
+    parts = values.mapInPandas(work, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+    return parts.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
 
 
 def correlation_summary(pairs: DataFrame) -> DataFrame:
@@ -68,14 +96,3 @@ def prune_correlated(df: DataFrame, cols: list[str], limit: float = PRUNE_LIMIT)
 def label_correlations(df: DataFrame, cols: list[str], y) -> DataFrame:
     """(column, corr) with a numeric label, one aggregate."""
     return wide_stats(df.withColumn("_y", y), cols, {"corr": lambda c: F.nanvl(F.corr(c.cast("double"), F.col("_y")), F.lit(None))})
-
-
-def constant_free(df: DataFrame, cols: list[str]) -> list[str]:
-    """Columns whose sample deviation is above zero."""
-    rows = wide_stats(df, cols, {"std": F.stddev_samp}).collect() if cols else []
-    keep = {r["column"] for r in rows if (r["std"] or 0.0) > 0.0}
-    return [c for c in cols if c in keep]
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.moments import finite
 from tabloom.operators.profile import modes, survey, value_counts, within_limit
 from tabloom.operators.quantiles import quantile_map
 from tabloom.operators.shared import is_numeric, quoted
@@ -15,7 +16,7 @@ DISCRETE_LIMIT = 20
 def fit_impute(df: DataFrame, cols: list[str], discrete_limit: int = DISCRETE_LIMIT, known: dict[str, dict] | None = None) -> dict[str, dict]:
     """{column: {strategy, value}}: mode for text, mean or median for numbers.
 
-    A numeric column without any value falls back to 0, a text column to 'missing'.
+    Numbers that are not finite count as null. A numeric column without any value falls back to 0, a text column to 'missing'.
     ``known`` is a survey of the columns, if there is one already.
     """
     known = survey(df, cols) if known is None else known
@@ -40,10 +41,10 @@ def fit_impute(df: DataFrame, cols: list[str], discrete_limit: int = DISCRETE_LI
 
 
 def fill(name: str, dtype, info: dict):
-    """The column with nulls replaced; numbers become doubles, text and booleans keep their type."""
+    """The column with nulls, NaN and infinities replaced; numbers become doubles, text and booleans keep their type."""
     value = info["value"]
     if is_numeric(dtype):
-        return F.coalesce(quoted(name).cast("double"), F.lit(float(value)))
+        return F.coalesce(finite(quoted(name)), F.lit(float(value)))
     return F.coalesce(quoted(name), F.lit(value).cast(dtype))
 
 

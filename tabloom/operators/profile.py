@@ -88,11 +88,15 @@ def within_limit(df: DataFrame, cols: list[str], limit: int = LOW_CARDINALITY, r
 
 
 def survey(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """{column: n, share of nulls, mean (numbers), rough distinct count} from one aggregate."""
+    """{column: n, share of nulls, mean (numbers), rough distinct count} from one aggregate.
+
+    Numbers that are not finite count as nulls."""
     nums = {c for c in cols if is_numeric(df.schema[c].dataType)}
     none = lambda c: F.lit(None).cast("double")
     base = {"n": F.count, "share": missing_share, "rough": F.approx_count_distinct}
-    parts = [wide_stats(df, [c for c in cols if c in nums], {**base, "mean": F.avg})] if nums else []
+    of_finite = lambda fn: lambda c: fn(moments.finite(c))
+    numeric = {name: of_finite(fn) for name, fn in {**base, "mean": F.avg}.items()}
+    parts = [wide_stats(df, [c for c in cols if c in nums], numeric)] if nums else []
     texts = [c for c in cols if c not in nums]
     if texts:
         parts.append(wide_stats(df, texts, {**base, "mean": none}))

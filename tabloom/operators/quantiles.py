@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.moments import equal_width_bin
+from tabloom.functions.moments import equal_width_bin, finite
 from tabloom.operators.shared import long_numbers, lookup_join, settle
 
 SMALL_CELLS = 4_000_000
@@ -24,7 +24,7 @@ BINS = 256
 def quantiles(
     df: DataFrame, cols: list[str], probs: list[float], by: list[str] = (), small: int = SMALL_CELLS, n_rows: int | None = None
 ) -> DataFrame:
-    """(by..., column, prob, value), ignoring nulls. ``n_rows`` spares a count where the
+    """(by..., column, prob, value), ignoring nulls, NaN and infinities. ``n_rows`` spares a count where the
     caller knows a bound on the largest group."""
     by = list(by)
     biggest = n_rows if n_rows is not None else df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
@@ -37,7 +37,7 @@ def quantiles(
 
 def _direct(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame:
     prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), prob_array).alias(f"q{i}") for i, c in enumerate(cols)])
+    wide = df.groupBy(*by).agg(*[F.percentile(finite(F.col(f"`{c}`")), prob_array).alias(f"q{i}") for i, c in enumerate(cols)])
     entries = [
         F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"q{i}")[j].alias("value"))
         for i, c in enumerate(cols)
@@ -47,8 +47,11 @@ def _direct(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -
 
 
 def long_quantiles(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """The bracketing method over a long table (keys..., value)."""
-    values = values.where(F.col("value").isNotNull())
+    """The bracketing method over a long table (keys..., value); finite values only.
+
+    A pass puts a bracket's ends into different bins, so every pass narrows it.
+    """
+    values = values.withColumn("value", finite(F.col("value"))).where(F.col("value").isNotNull())
     spans = settle(
         values.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")), "spans"
     )
@@ -79,7 +82,9 @@ def long_quantiles(values: DataFrame, keys: list[str], probs: list[float]) -> Da
 def _narrow(values: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
     group = [*keys, "rank"]
     inside = lookup_join(values, open_, keys, how="inner").where("value between lo and hi")
-    binned = inside.withColumn("bin", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), BINS))
+    # Spans beyond the range of a double are binned at half scale.
+    half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e300, 0.5).otherwise(1.0)
+    binned = inside.withColumn("bin", equal_width_bin(F.col("value") * half, F.col("lo") * half, F.col("hi") * half, BINS))
     counts = binned.groupBy(*group, "below", "bin").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )

@@ -13,9 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder; a temporary one only on one machine without any."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tabloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -75,21 +77,17 @@ def long_numbers(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFr
 
 
 def lookup_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound: int = BROADCAST_ROWS, salts: int = 64
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join a large table to a table with few rows per key.
 
-    The lookup side is counted first. Up to ``bound`` rows it is broadcast; beyond
-    that it is repeated ``salts`` times and the large side gets a salt from its content
-    and partition, so that a key holding a large share of the rows, or copies of one
-    row, spread over tasks; the salt stays the same when a task is run again.
+    The lookup side is written and counted first. It is broadcast up to ``bound`` rows
+    of fixed width; otherwise it is left to Spark, which knows the size of the written table,
+    and, where it shuffles, splits the partitions of keys with many rows.
     """
     small, n_small = settle_counted(small, "lookup")
-    if n_small <= bound:
-        return big.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[quoted(c) for c in big.columns]), F.lit(salts)).cast("int")
-    spread = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return big.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+    flat = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType)) for f in small.schema.fields)
+    return big.join(F.broadcast(small) if flat and n_small <= bound else small, on, how)
 
 
 def in_order(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
@@ -133,12 +131,21 @@ def row_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_pid", "_before")
 
 
+def _gap(df: DataFrame, name: str) -> Column:
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return quoted(name).isNull() | F.isnan(quoted(name)) if floating else quoted(name).isNull()
+
+
 def is_monotonic(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
-    """(column, is_monotonic): values never fall when rows are read in the given order."""
+    """(column, is_monotonic): values never fall when rows are read in the given order.
+
+    A column with a null is not monotonic; neither is one with NaN, as NaN compares with
+    nothing. A table without rows is.
+    """
     data = in_order(df.select(order, *[c for c in cols if c != order]), [F.col(order)])
     window = Window.partitionBy("_pid").orderBy(order)
     steps = data.select("_pid", order, *[
-        F.coalesce(quoted(c) < F.lag(quoted(c)).over(window), F.lit(False)).alias(f"_fall_{i}") for i, c in enumerate(cols)
+        (_gap(df, c) | F.coalesce(quoted(c) < F.lag(quoted(c)).over(window), F.lit(False))).alias(f"_fall_{i}") for i, c in enumerate(cols)
     ])
     falls = steps.groupBy("_pid").agg(*[F.max(f"_fall_{i}").alias(f"fall_{i}") for i in range(len(cols))])
     edges = data.groupBy("_pid").agg(
@@ -149,6 +156,6 @@ def is_monotonic(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
     out = []
     for i, c in enumerate(cols):
         inside = not any(r[f"fall_{i}"] for r in rows)
-        across = all(a[f"last_{i}"] <= b[f"first_{i}"] for a, b in zip(rows, rows[1:]))
-        out.append((c, inside and across))
+        across = inside and all(a[f"last_{i}"] <= b[f"first_{i}"] for a, b in zip(rows, rows[1:]))
+        out.append((c, across))
     return df.sparkSession.createDataFrame(out, "column string, is_monotonic boolean")
