@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import text_of
+from tabloom.llm.common import ROW_KEY, rows_by_key, text_of, with_row_key
 from tabloom.operators.shared import quoted, settle
 
 WIDTH, PERCENT = 5, 75
@@ -23,22 +24,40 @@ SHARE, SPARSE = 2_000_000, 16
 HOT_COUNT, HOT_MOST = 32, 1 << 18
 #: Sizes among which the boundary between small and large sets is sought.
 SMALL_MOST = 64
+#: A set shares one more leading shingle with what it links to for each so many it has.
+MORE = 8
+#: Words of 64 bits in the filter that says which texts are needed again.
+FILTER = 1 << 18
 #: Members of a block when sets of one bag are compared.
 BLOCK = 256
 
 
 class _Words(dict):
-    """Hashes of words; emptied when full."""
+    """Places of words in a table of their hashes; emptied when full."""
+
+    FULL = 1 << 19
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.empty(self.FULL, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        place = self[word] = len(self)
+        self.hashes[place] = xxhash.xxh3_64_intdigest(word)
+        return place
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = []
+        for start in range(0, len(words), self.FULL // 2):
+            some = words[start : start + self.FULL // 2]
+            if len(self) + len(some) > self.FULL:
+                self.clear()
+            out.append(self.hashes[np.fromiter(map(self.__getitem__, some), np.int32, len(some))])
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
-def shingles(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes.
+
+def runs(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of a text's shingles, in order.
 
     A to Z are lower-cased; words are what white space separates. With fewer words
     than ``width`` the whole sequence is one shingle; without words there is none.
@@ -46,7 +65,7 @@ def shingles(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.array([known[w] for w in words], np.uint64)
+    hashes = known.of(words)
     n = min(width, len(words))
     count = len(words) - n + 1
     total = np.full(count, n, np.uint64)
@@ -55,7 +74,13 @@ def shingles(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    return np.unique(total)
+    return total
+
+
+def shingles(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes."""
+    found = np.sort(runs(text, known, width))
+    return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
 def needed(n, percent: int = PERCENT):
@@ -63,10 +88,15 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def shared(n):
+    """How many of their leading shingles a set of ``n`` has in common with a linked set of ``n`` or more."""
+    return 1 + n // MORE
+
+
 def _counts(rows: DataFrame, width: int) -> DataFrame:
-    """(shingle, n): estimates of in how many different sets a shingle is.
+    """(shingle, n): estimates of how often a shingle occurs in different texts.
 
-    Every shingle of every text is counted. In a task's share equal sets count once;
+    Every shingle of every text is counted. In a task's share equal texts count once;
     shingles seen twice or more leave with their number, of those seen once each 16th (by a
     hash) leaves as sixteen.
     """
@@ -75,7 +105,9 @@ def _counts(rows: DataFrame, width: int) -> DataFrame:
         known, held, size, seen = _Words(), [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            every = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            values, counts = every[starts], np.diff(starts, append=len(every))
             salt = np.uint64(xxhash.xxh3_64_intdigest(values[:1].tobytes()))
             alone = counts == 1
             drawn = (((values ^ salt) * FACTORS[0]) >> np.uint64(40)) % np.uint64(SPARSE) == 0
@@ -85,16 +117,16 @@ def _counts(rows: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                found = shingles(value.as_py(), known, width)
-                mark = xxhash.xxh3_64_intdigest(found.tobytes())
-                if len(found) and mark not in seen:
+                text = value.as_py()
+                mark = xxhash.xxh3_64_intdigest(text)
+                if text and mark not in seen:
                     seen.add(mark)
-                    held.append(found)
-                    size += len(found)
+                    held.append(runs(text, known, width))
+                    size += len(held[-1])
                 if size >= SHARE:
                     yield flush()
                     held, size, seen = [], 0, set()
-        if held:
+        if size:
             yield flush()
 
     counts = rows.select("_tl_text").mapInArrow(work, "shingle long, n long")
@@ -105,15 +137,15 @@ def _leading(rows: DataFrame, key: str, hot: tuple, width: int, percent: int) ->
     """(key, n, sig, check, lead, n_light, work) for every row.
 
     ``lead`` are the first shingles of the set in the common order (rare before frequent,
-    then by hash), so many that a linked set shares two of them. From ``n_light`` on they
-    are known to be frequent. ``work`` adds up how often they are expected.
+    then by hash), so many that a linked set shares two, or `shared`, of them. From
+    ``n_light`` on they are known to be frequent. ``work`` adds up how often they are expected.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    frequent = rows.sparkSession.sparkContext.broadcast(hot)
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        values, counts = shared.value
+        values, counts = frequent.value
         for batch in batches:
             out = {c: [] for c in ["n", "sig", "check", "lead", "n_light", "work"]}
             for value in batch.column(1):
@@ -126,7 +158,7 @@ def _leading(rows: DataFrame, key: str, hot: tuple, width: int, percent: int) ->
                     light, heavy = found[~is_hot], found[is_hot]
                     often = counts[at[is_hot]] if len(values) else np.empty(0, np.int64)
                     order = np.lexsort((heavy, often))
-                    size = min(n, n - needed(n, percent) + 2)
+                    size = min(n, n - needed(n, percent) + max(2, shared(n)))
                     lead = np.concatenate([light, heavy[order]])[:size]
                     n_light = min(size, len(light))
                     load = float(n_light + often[order][: size - n_light].sum())
@@ -170,8 +202,8 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 def boundary(table: DataFrame, percent: int = PERCENT) -> int:
     """The size up to which sets count as small: the one that costs least.
 
-    A small set of n costs the pairs of its p + 1 leading shingles; a large one costs p
-    postings and the entries expected in their lists. Small sets from ``percent`` of the
+    A small set costs the pairs of its leading shingles; a large one costs their postings and
+    the entries expected in their lists. Small sets from ``percent`` of the
     boundary on are posted as well, for the large ones. One aggregate by size.
     """
     sizes = table.where((F.col("n") > 1) & (F.col("n") <= SMALL_MOST)).groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.sum("work").alias("work"))
@@ -186,47 +218,104 @@ def boundary(table: DataFrame, percent: int = PERCENT) -> int:
             if n <= limit:
                 total += sets * (lead(n) + 1) * lead(n) / 2
             if n > limit or n >= needed(limit + 1, percent):
-                total += sets * lead(n) + work
+                total += sets * (lead(n) + n // MORE) + work
         return total
 
     return min(range(SMALL_MOST + 1), key=lambda limit: (cost(limit), limit))
 
 
 def _keys(table: DataFrame, limit: int, percent: int) -> DataFrame:
-    """(key, sig, n, single, hot): pairs of leading shingles of small sets, leading shingles of large."""
+    """(key, sig, info, hot): pairs of leading shingles of small sets, leading shingles of large.
+
+    ``info`` is twice the set's size, and one more for a single shingle.
+    """
     size = F.col("n")
-    lead = size - F.ceil(size * F.lit(percent) / F.lit(100)) + F.lit(1)
-    ready = table.where("n > 1").withColumn("_tl_lead", lead.cast("int"))
-    small = ready.where(size <= limit).withColumn("_tl_rest", F.col("lead"))
-    pairs = small.select("sig", "n", "n_light", "_tl_rest", F.posexplode("lead").alias("i", "first"))
-    pairs = pairs.select("sig", "n", "n_light", "i", "first", F.posexplode(F.slice("_tl_rest", F.col("i") + F.lit(2), F.size("_tl_rest"))).alias("j", "second"))
-    pairs = pairs.select(F.xxhash64("first", "second").alias("key"), "sig", "n", F.lit(False).alias("single"), (F.col("i") >= F.col("n_light")).alias("hot"))
+    rest = size - F.ceil(size * F.lit(percent) / F.lit(100))
+    ready = table.where("n > 1").withColumns({"_tl_pairs": (rest + 2).cast("int"), "_tl_singles": (rest + 1 + F.floor(size / MORE)).cast("int")})
+    small = ready.where(size <= limit).withColumn("lead", F.slice("lead", F.lit(1), F.col("_tl_pairs")))
+    pairs = small.select("sig", "n", "n_light", F.col("lead").alias("_tl_rest"), F.posexplode("lead").alias("i", "first"))
+    pairs = pairs.select("sig", "n", "n_light", "i", "first", F.explode(F.slice("_tl_rest", F.col("i") + F.lit(2), F.size("_tl_rest"))).alias("second"))
+    pairs = pairs.select(F.xxhash64("first", "second").alias("key"), "sig", (2 * size).alias("info"), (F.col("i") >= F.col("n_light")).alias("hot"))
     large = ready.where(size >= needed(limit + 1, percent))
-    singles = large.select("sig", "n", "n_light", F.posexplode(F.slice("lead", F.lit(1), F.col("_tl_lead"))).alias("i", "key"))
-    return pairs.unionByName(singles.select("key", "sig", "n", F.lit(True).alias("single"), (F.col("i") >= F.col("n_light")).alias("hot")))
+    singles = large.select("sig", "n", "n_light", F.posexplode(F.slice("lead", F.lit(1), F.col("_tl_singles"))).alias("i", "key"))
+    return pairs.unionByName(singles.select("key", "sig", (2 * size + 1).alias("info"), (F.col("i") >= F.col("n_light")).alias("hot")))
 
 
-def _bags(keys: DataFrame, limit: int) -> DataFrame:
-    """(rep, sig): sets that share a key, under the lowest signature of the key's list.
+def _lists(keys: DataFrame, limit: int) -> DataFrame:
+    """(key, sig, info): postings whose list has another set, and a large one if of single shingles.
 
-    Any two sets with a common key are in one bag. Lists without a large set, of single
-    shingles, are left to the pairs. Lists of shingles known to be frequent are joined
-    to their lowest signature (Spark splits such joins); the others, which are short,
-    take it by window.
+    Lists of shingles known to be frequent are joined to what an aggregate says of them
+    (Spark splits such joins); the others, which are short, are looked at by window.
     """
-    good = (F.col("low") < F.col("high")) & (~F.col("single") | (F.col("most") > limit))
-    measures = {"low": F.min("sig"), "high": F.max("sig"), "most": F.max("n")}
-    over = Window.partitionBy("key", "single")
-    light = keys.where(~F.col("hot")).withColumns({k: v.over(over) for k, v in measures.items()}).where(good).select(F.col("low").alias("rep"), "sig")
-    heavy = keys.where("hot")
-    lists = heavy.groupBy("key", "single").agg(*[v.alias(k) for k, v in measures.items()]).where(good).select("key", "single", F.col("low").alias("rep"))
-    return light.unionByName(heavy.join(lists, ["key", "single"]).select("rep", "sig")).distinct()
+    good = (F.col("low") < F.col("high")) & ((F.col("info") % 2 == 0) | (F.col("most") > 2 * limit + 1))
+    measures = {"low": F.min("sig"), "high": F.max("sig"), "most": F.max("info")}
+    over = Window.partitionBy("key")
+    light = keys.where(~F.col("hot")).select("key", "sig", "info").withColumns({k: v.over(over) for k, v in measures.items()}).where(good)
+    heavy = keys.where("hot").select("key", "sig", "info")
+    about = heavy.groupBy("key").agg(*[v.alias(k) for k, v in measures.items()]).where("low < high")
+    return light.select("key", "sig", "info").unionByName(heavy.join(about, "key").where(good).select("key", "sig", "info"))
+
+
+def _thinned(lists: DataFrame, limit: int, percent: int) -> DataFrame:
+    """The postings of sets with enough lists for a link, in lists that still have two sets.
+
+    A set that links shares `shared` of its leading shingles, by the size of the
+    smaller of the two, or a pair. Sets that others share shingles with by chance have
+    fewer; without them, others have too few. Repeated until little goes.
+    """
+    least = F.ceil(F.floor(F.col("info") / 2) * F.lit(percent) / F.lit(100))
+    now, rows = lists, lists.count()
+    while rows:
+        counts = now.groupBy("sig").agg(F.max("info").alias("info"), F.count_if(F.col("info") % 2 == 1).alias("singles"), F.count_if(F.col("info") % 2 == 0).alias("pairs"))
+        enough = counts.where((F.col("pairs") > 0) | (F.col("singles") >= 1 + F.floor(least / MORE))).select("sig")
+        kept = now.join(enough, "sig", "left_semi")
+        heads = kept.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("info").alias("most"))
+        good = heads.where((F.col("low") < F.col("high")) & ((F.col("most") % 2 == 0) | (F.col("most") > 2 * limit + 1))).select("key")
+        now = settle(kept.join(good, "key", "left_semi").select("key", "sig", "info"), "postings")
+        before, rows = rows, now.count()
+        if rows > 0.8 * before:
+            break
+    return now
+
+
+def _bags(lists: DataFrame, percent: int) -> DataFrame:
+    """(bag, rep, k, sig, n): sets that share a key and may fit in size, with their representative.
+
+    A key's sets are listed under their lowest signature, and what is under one signature is
+    parted by size: sizes that fit fall into one of a row of ranges or two neighbouring
+    ones, so each set is in two bags. A bag's representative is its lowest signature, ``k`` that
+    set's size. Any two sets that link are in a bag together.
+    """
+    heads = lists.groupBy("key").agg(F.min("sig").alias("low"))
+    listed = lists.join(heads, "key").select("low", "sig", F.floor(F.col("info") / 2).alias("n")).distinct()
+    # A little wider than the sizes that fit, so that rounding cannot part them.
+    step = F.floor(F.ln(F.col("n")) / F.lit(math.log(100.5 / percent)))
+    ranged = settle(listed.withColumn("step", F.explode(F.array(step, step + 1))).select(F.xxhash64("low", "step").alias("bag"), "sig", "n"), "listed")
+    heads = ranged.groupBy("bag").agg(F.min("sig").alias("rep"), F.max("sig").alias("last")).where("rep < last").select("bag", "rep")
+    members = ranged.join(heads, "bag")
+    sizes = members.where("sig = rep").select("bag", F.col("n").alias("k")).distinct()
+    return members.join(sizes, "bag").select("bag", "rep", "k", "sig", "n")
+
+
+def _again(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_tl_text, sig): the texts of the rows with the wanted keys (_tl_key, sig).
+
+    A filter of fixed size, whose bits the wanted keys set, goes to the tasks, so that most
+    other texts stay where they are; the join decides.
+    """
+    hashed = F.xxhash64("_tl_key")
+    word, bit = F.pmod(hashed, F.lit(FILTER)), F.pmod(F.shiftright(hashed, 32), F.lit(64)).cast("int")
+    mask = F.expr("shiftleft(1L, _tl_bit)")
+    bits = wanted.select(word.alias("_tl_word"), bit.alias("_tl_bit")).groupBy("_tl_word").agg(F.bit_or(mask).alias("_tl_mask"))
+    near = rows.withColumns({"_tl_word": word, "_tl_bit": bit}).join(F.broadcast(bits), "_tl_word").where(F.expr("shiftrightunsigned(_tl_mask, _tl_bit) & 1L = 1L"))
+    near = near.select("_tl_key", "_tl_text")
+    return near.alias("t").join(wanted.alias("w"), F.col("t._tl_key").eqNullSafe(F.col("w._tl_key"))).select("_tl_text", "sig")
 
 
 def similar(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether two sets link; sizes decide first."""
     common = F.size(F.array_intersect(a, b))
-    fits = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    fits = _fits(n_a, n_b, percent)
     return fits & F.when(fits, 100 * common >= percent * (n_a + n_b - common)).otherwise(F.lit(False))
 
 
@@ -256,28 +345,51 @@ def connect(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of sets, with any further columns, those that link."""
+    first = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"))
+    second = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("m_b"))
+    both = pairs.join(first, "a").join(second, "b")
+    return both.where(similar(F.col("m_a"), F.col("m_b"), F.col("n_a"), F.col("n_b"), percent)).select(*pairs.columns)
+
+
 def _cross_links(bags: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that a pair of sets in one bag links, beyond those already joined.
 
-    Only pairs across components are open. In each bag the most frequent component's
-    members need not be compared with each other, so the others are compared with all:
-    both sides in blocks, one group of the join is a block against a block. The
-    comparison is the join's condition; only links come out.
+    Only pairs across components are open. The members of a bag's most frequent component
+    need not be compared with each other, so the others are compared with all. In bags of
+    up to `BLOCK` sets the open pairs are listed; several bags may have the same. In
+    larger ones both sides are cut into blocks, a block meets a block in one group of the
+    join, and the comparison is the join's condition, so that only links come out.
     """
-    named = bags.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("rep", "sig", F.coalesce("component", "sig").alias("part"))
-    named = settle(named, "bags")
-    parts = named.groupBy("rep", "part").agg(F.count(F.lit(1)).alias("size"))
-    most = parts.groupBy("rep").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("held"), F.sum("size").alias("all"))
-    open_bags = most.where("held < all").select("rep", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int").alias("rows"))
-    members = named.join(open_bags, "rep").join(sets, "sig")
-    members = members.withColumn("other", F.col("part") != F.col("main"))
+    named = bags.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("bag", "rep", "sig", "n", F.coalesce("component", "sig").alias("part"))
+    named = settle(named, "named")
+    parts = named.groupBy("bag", "part").agg(F.count(F.lit(1)).alias("size"))
+    most = parts.groupBy("bag").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("held"), F.sum("size").alias("all")).where("held < all")
+    members = settle(named.join(most, "bag").withColumn("other", F.col("part") != F.col("main")), "open")
+    pair = (F.col("l.part") != F.col("r.part")) & (~F.col("r.other") | (F.col("l.sig") < F.col("r.sig"))) & _fits(F.col("l.n"), F.col("r.n"), percent)
+    pair = pair & (F.col("l.sig") != F.col("l.rep")) & (F.col("r.sig") != F.col("r.rep"))
+    ends = [F.col("l.sig").alias("a"), F.col("r.sig").alias("b"), F.col("l.part").alias("p"), F.col("r.part").alias("q")]
+
+    short = members.where(F.col("all") <= BLOCK)
+    listed = short.where("other").alias("l").join(short.alias("r"), (F.col("l.bag") == F.col("r.bag")) & pair).select(*ends)
+    order = F.col("a") < F.col("b")
+    listed = listed.select(*[F.when(order, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in [("a", "b"), ("b", "a"), ("p", "q"), ("q", "p")]]).distinct()
+    found = _linked(listed, sets, percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+    blocks, rows = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int")
     cell = F.pmod(F.xxhash64("sig"), F.lit(1 << 30)).cast("int")
-    left = members.where("other").withColumn("row", cell % F.col("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
-    right = members.withColumn("column", cell % F.col("blocks")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
-    at = (F.col("l.rep") == F.col("r.rep")) & (F.col("l.row") == F.col("r.row")) & (F.col("l.column") == F.col("r.column"))
-    pair = (F.col("l.part") != F.col("r.part")) & (~F.col("r.other") | (F.col("l.sig") < F.col("r.sig"))) & (F.col("l.sig") != F.col("l.rep")) & (F.col("r.sig") != F.col("r.rep"))
+    wide = members.where(F.col("all") > BLOCK).withColumns({"blocks": blocks, "rows": rows}).join(sets.select("sig", "members"), "sig")
+    left = wide.where("other").withColumn("row", cell % F.col("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
+    right = wide.withColumn("column", cell % F.col("blocks")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
+    at = (F.col("l.bag") == F.col("r.bag")) & (F.col("l.row") == F.col("r.row")) & (F.col("l.column") == F.col("r.column"))
     link = similar(F.col("l.members"), F.col("r.members"), F.col("l.n"), F.col("r.n"), percent)
-    return left.join(right, at & pair & link).select(F.col("l.part").alias("a"), F.col("r.part").alias("b")).distinct()
+    more = left.join(right, at & pair & link).select(F.col("l.part").alias("a"), F.col("r.part").alias("b"))
+    return found.unionByName(more).distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -289,10 +401,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     1. Equal sets are one set. All else works on signatures of sets.
     2. Linked sets share a key. Small sets: a pair of shingles among the first
-       n - needed + 2; large ones, and small against large: a shingle among the first
-       n - needed + 1. `boundary` weighs the cost of pairs against that of lists.
-    3. Sets with a common key are in one bag, under one of them. They are compared with it
-       first. What links is one component.
+       n - needed + 2; large ones, and small against large: `shared` shingles among the first
+       n - needed + `shared`. `boundary` weighs the cost of pairs against that of lists.
+    3. Sets with a common key, of sizes that may fit, are in one bag, under one of them. They
+       are compared with it first. What links is one component.
     4. Pairs across the components of a bag are compared in blocks.
 
     Null or empty texts, also those of white space: size 0, a component of their own. Null
@@ -313,14 +425,12 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     if seals.where("low <> high").limit(1).count():
         raise ValueError("two different sets have one signature")
     limit = boundary(table, percent)
-    bags = settle(_bags(_keys(table, limit, percent), limit), "bags")
+    lists = settle(_lists(_keys(table, limit, percent), limit), "postings")
+    bags = settle(_bags(_thinned(lists, limit, percent), percent), "bags")
+    stars = settle(bags.where(F.col("rep") != F.col("sig")).where(_fits(F.col("k"), F.col("n"), percent)).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct(), "stars")
     wanted = bags.select("sig").distinct().join(seals.select("sig", "_tl_key"), "sig")
-    texts = rows.alias("t").join(wanted.alias("w"), F.col("t._tl_key").eqNullSafe(F.col("w._tl_key"))).select("_tl_text", "sig")
-    sets = settle(_sets(texts, width).dropDuplicates(["sig"]), "sets")
-
-    members = bags.where("rep <> sig").join(sets.select("sig", F.col("members").alias("m"), F.col("n").alias("k")), "sig")
-    reps = sets.select(F.col("sig").alias("rep"), "members", "n")
-    stars = members.join(reps, "rep").where(similar(F.col("members"), F.col("m"), F.col("n"), F.col("k"), percent)).select(F.col("rep").alias("a"), F.col("sig").alias("b"))
+    sets = settle(_sets(_again(rows, settle(wanted, "wanted")), width).dropDuplicates(["sig"]), "sets")
+    stars = _linked(stars, sets, percent)
     first = settle(connect(stars), "components")
     second = settle(connect(_cross_links(bags, sets, first, percent)), "joined").select(F.col("node").alias("part"), F.col("component").alias("whole"))
     # A set that only the second pass linked was its own part.
@@ -337,11 +447,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``df`` with all columns, but of each component only the row of the lowest key.
 
-    Rows without words are components of their own and all stay. Rows with equal keys are told
-    apart by their place in the input; null keys go last.
+    Rows without words are components of their own and all stay. Rows with equal keys are
+    ordered by a hash of their content; null keys go last. Of rows that are equal in
+    all columns one stays, also of rows without words.
     """
-    rows = df.withColumn("_tl_row", F.monotonically_increasing_id())
-    own = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col("_tl_row").alias("row"))
+    rows = with_row_key(df)
+    own = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), *ROW_KEY)
     found = jaccard_components(rows.withColumn("_tl_own", own), "_tl_own", text, **rules)
-    kept = found.where(F.col("_tl_own.row") == F.col("component_id.row")).select(F.col("_tl_own.row").alias("_tl_row"))
-    return rows.join(kept, "_tl_row", "left_semi").select(*[quoted(c) for c in df.columns])
+    same = [F.col(f"_tl_own.{c}") == F.col(f"component_id.{c}") for c in ROW_KEY]
+    kept = found.where(same[0] & same[1]).groupBy(*[F.col(f"_tl_own.{c}").alias(c) for c in ROW_KEY]).agg(F.count(F.lit(1)).alias("n"))
+    return rows_by_key(rows, settle(kept, "kept")).select(*[quoted(c) for c in df.columns])
