@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ROW_KEY, rows_by_key, text_of, with_row_key
-from tabloom.operators.shared import quoted, settle
+from tabloom.operators.shared import quoted, settle, settle_counted
 
 WIDTH, PERCENT = 5, 75
 #: Words of a shingle are weighted by these odd numbers before they are summed.
@@ -29,7 +29,7 @@ MORE = 8
 #: Words of 64 bits in the filter that says which texts are needed again.
 FILTER = 1 << 18
 #: Members of a block when sets of one bag are compared.
-BLOCK = 256
+BLOCK = 512
 
 
 class _Words(dict):
@@ -429,7 +429,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     bags = settle(_bags(_thinned(lists, limit, percent), percent), "bags")
     stars = settle(bags.where(F.col("rep") != F.col("sig")).where(_fits(F.col("k"), F.col("n"), percent)).select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct(), "stars")
     wanted = bags.select("sig").distinct().join(seals.select("sig", "_tl_key"), "sig")
-    sets = settle(_sets(_again(rows, settle(wanted, "wanted")), width).dropDuplicates(["sig"]), "sets")
+    wanted, n_wanted = settle_counted(wanted, "wanted")
+    sets, n_sets = settle_counted(_sets(_again(rows, wanted), width), "sets")
+    if n_sets > n_wanted:  # rows that repeat key and text
+        sets = settle(sets.dropDuplicates(["sig"]), "sets")
     stars = _linked(stars, sets, percent)
     first = settle(connect(stars), "components")
     second = settle(connect(_cross_links(bags, sets, first, percent)), "joined").select(F.col("node").alias("part"), F.col("component").alias("whole"))
