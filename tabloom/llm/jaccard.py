@@ -83,6 +83,18 @@ def shingles(text: str, known: _Words, width: int = WIDTH) -> np.ndarray:
     return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles in four to eight bits for each of them, 1024 at least.
+
+    Where the sketches of two sets differ, the sets differ in one shingle at least, so their
+    number of differing bits bounds the difference from below. The number of words is a
+    power of two; the halves of a sketch, xored, are the sketch of half as many.
+    """
+    bits = 64 << max(4, (max(len(found), 1) * 2 - 1).bit_length() - 5)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def needed(n, percent: int = PERCENT):
     """Least overlap of a set of ``n`` with any set it links to."""
     return -(-percent * n // 100)
@@ -179,24 +191,28 @@ def _leading(rows: DataFrame, key: str, hot: tuple, width: int, percent: int) ->
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(sig, n, members) for rows (_tl_text, sig) whose text has that signature."""
+    """(sig, n, members, sketch) for rows (_tl_text, sig) whose text has that signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            sigs, lists = [], []
+            sigs, lists, drawn = [], [], []
             for value, sig in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = shingles(value.as_py(), known, width)
                 own = np.array([xxhash.xxh3_64_intdigest(found.tobytes())], np.uint64).view(np.int64)[0]
                 if own == sig:
                     sigs.append(sig)
                     lists.append(found.view(np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-            flat = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
+                    drawn.append(sketch(found))
             sizes = pa.array([len(x) for x in lists], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), sizes, pa.ListArray.from_arrays(ends, flat)], names=["sig", "n", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), sizes, _ragged(lists), _ragged(drawn)], names=["sig", "n", "members", "sketch"])
 
-    return rows.select("_tl_text", "sig").mapInArrow(work, "sig long, n long, members array<long>")
+    return rows.select("_tl_text", "sig").mapInArrow(work, "sig long, n long, members array<long>, sketch array<long>")
+
+
+def _ragged(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
 
 
 def boundary(table: DataFrame, percent: int = PERCENT) -> int:
@@ -319,6 +335,21 @@ def similar(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Col
     return fits & F.when(fits, 100 * common >= percent * (n_a + n_b - common)).otherwise(F.lit(False))
 
 
+def _halved(a: Column, b: Column) -> Column:
+    """Sketch ``a``, at the length of ``b`` if that is half as long."""
+    half = F.size(b)
+    folded = F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(a) > half, folded).otherwise(a)
+
+
+def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """False for most sets that do not link, by their sketches; never for sets that do."""
+    differ = F.zip_with(_halved(a, b), _halved(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    count = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    fits = _fits(n_a, n_b, percent)
+    return fits & F.when(fits, (100 + percent) * count <= (100 - percent) * (n_a + n_b)).otherwise(F.lit(False))
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """(node, component): the lowest node that edges (a, b) reach, for every node of an edge.
 
@@ -350,7 +381,18 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of sets, with any further columns, those that link."""
+    """Of pairs (a, b) of sets, with any further columns, those that link: sketches go first."""
+    return _verified(_sketched(pairs, sets, percent), sets, percent)
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    first = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    second = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    both = pairs.join(first, "a").join(second, "b")
+    return both.where(may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"))
     second = sets.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("m_b"))
     both = pairs.join(first, "a").join(second, "b")
@@ -364,7 +406,8 @@ def _cross_links(bags: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     need not be compared with each other, so the others are compared with all. In bags of
     up to `BLOCK` sets the open pairs are listed; several bags may have the same. In
     larger ones both sides are cut into blocks, a block meets a block in one group of the
-    join, and the comparison is the join's condition, so that only links come out.
+    join, and the comparison of sketches is the join's condition, so that little more than
+    links comes out. What is left is compared by the sets themselves.
     """
     named = bags.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("bag", "rep", "sig", "n", F.coalesce("component", "sig").alias("part"))
     named = settle(named, "named")
@@ -378,18 +421,19 @@ def _cross_links(bags: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     short = members.where(F.col("all") <= BLOCK)
     listed = short.where("other").alias("l").join(short.alias("r"), (F.col("l.bag") == F.col("r.bag")) & pair).select(*ends)
     order = F.col("a") < F.col("b")
-    listed = listed.select(*[F.when(order, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in [("a", "b"), ("b", "a"), ("p", "q"), ("q", "p")]]).distinct()
-    found = _linked(listed, sets, percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
+    ordered = [F.when(order, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in [("a", "b"), ("b", "a"), ("p", "q"), ("q", "p")]]
+    listed = _sketched(listed.select(*ordered).distinct(), sets, percent)
 
     blocks, rows = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("held")) / BLOCK).cast("int")
     cell = F.pmod(F.xxhash64("sig"), F.lit(1 << 30)).cast("int")
-    wide = members.where(F.col("all") > BLOCK).withColumns({"blocks": blocks, "rows": rows}).join(sets.select("sig", "members"), "sig")
+    wide = members.where(F.col("all") > BLOCK).withColumns({"blocks": blocks, "rows": rows}).join(sets.select("sig", "sketch"), "sig")
     left = wide.where("other").withColumn("row", cell % F.col("rows")).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
     right = wide.withColumn("column", cell % F.col("blocks")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
     at = (F.col("l.bag") == F.col("r.bag")) & (F.col("l.row") == F.col("r.row")) & (F.col("l.column") == F.col("r.column"))
-    link = similar(F.col("l.members"), F.col("r.members"), F.col("l.n"), F.col("r.n"), percent)
-    more = left.join(right, at & pair & link).select(F.col("l.part").alias("a"), F.col("r.part").alias("b"))
-    return found.unionByName(more).distinct()
+    near = may_link(F.col("l.sketch"), F.col("r.sketch"), F.col("l.n"), F.col("r.n"), percent)
+    blocked = left.join(right, at & pair & near).select(*ends).select(*ordered).distinct()
+    open_pairs = settle(listed.unionByName(blocked).distinct(), "candidates")
+    return _verified(open_pairs, sets, percent).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

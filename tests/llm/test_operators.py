@@ -479,3 +479,20 @@ def test_license_bands():
         window = 2 * (1 << (size - 1).bit_length())
         common = 0.75 * size
         assert (1 - common / (window + size - common)) ** licenses.bands_for(size, window) <= licenses.MISS
+
+
+def test_sketches_bound_the_difference_of_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 7, 200, 256, 257, 300, 512, 513, 3000):
+        for gone in (0, n // 10, n // 7, n // 3):
+            whole = rng.integers(0, 2**63, n).astype(np.uint64)
+            part = np.sort(whole[gone:])
+            pairs.append((len(whole), len(part), jaccard.sketch(np.sort(whole)).tolist(), jaccard.sketch(part).tolist()))
+    table = spark.createDataFrame(pairs, "n_a long, n_b long, s_a array<long>, s_b array<long>")
+    for a, b in (("a", "b"), ("b", "a")):
+        near = jaccard.may_link(F.col(f"s_{a}"), F.col(f"s_{b}"), F.col(f"n_{a}"), F.col(f"n_{b}"), 75)
+        for row in table.select("n_a", "n_b", near.alias("near")).collect():
+            assert row["near"] or 100 * row["n_b"] < 75 * row["n_a"], row
