@@ -482,8 +482,6 @@ def test_license_bands():
 
 
 def test_sketches_bound_the_difference_of_sets(spark):
-    import numpy as np
-
     rng = np.random.default_rng(3)
     pairs = []
     for n in (1, 7, 200, 256, 257, 300, 512, 513, 3000):
