@@ -157,6 +157,22 @@ def test_secret_entropy(spark):
     assert sorted(rows[8].split(",")) == ["entropy_base64:0:26", "entropy_hex:0:26"]
 
 
+def test_secret_beside_allowed_strings(spark):
+    """An allow-list match suppresses the windows it overlaps, not the rest of its run."""
+    rng = random.Random(4)
+    key = "kJ8sQ2mZx7RtY4nWv1LpB6cD9fHgT3aE"
+    alphabet = secrets.CLASSES[1].alphabet
+    blob = "".join(rng.choices(alphabet[:62], k=3000)) + "xxXX" + "AAAAAAAAAAAA" + "".join(rng.choices(alphabet[:62], k=3000))
+    base32, base36 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=40)), "".join(rng.choices("0123456789" + "abcdefghijklmnopqrstuvwxyz", k=40))
+    texts = [
+        f"/example/{key}", f"{key}/0123456789", f"{key}_AAAAAAAA", blob, "550e8400-E29b-41d4-a716-446655440000", f"{key[:23]}example{key[:23]}",
+        f"a {base32} b", f"/v/{base36}", "thisisaplainrunoflowercasewords", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx1", f"A1{'z' * 30}",
+    ]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    whole = [f"entropy_base64:0:{len(t)}" for t in texts[:4]]
+    assert [got[i] for i in range(len(texts))] == [*whole, "", "", "entropy_onecase:2:42", "entropy_onecase:3:43", "", "", ""]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(i, t, len(t or ""), 1) for i, t in SECRETS], "doc_id long, text string, n_chars long, _tl_text int")
     out = secrets.redact(df, length="n_chars")
