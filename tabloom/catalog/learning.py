@@ -100,12 +100,12 @@ _learner("clf_tree", "DecisionTree", "classification", {"max_depth": 5})
 _learner("clf_forest", "RandomForest", "classification", {"n_estimators": 20, "max_depth": 5})
 _learner("clf_gbt", "GradientBoosting", "classification", {"max_iter": 5}, label="l_linestatus")
 _learner("clf_linear_svc", "LinearSVC", "classification", {"C": 1.0}, label="l_linestatus")
-_learner("clf_rbf_svm", "SVC", "classification", {"C": 1.0}, label="l_linestatus", features=("l_discount", "l_tax"))
+_learner("clf_rbf_svm", "SVC", "classification", {"C": 1.0}, label="l_linestatus")
 _learner("reg_tree", "DecisionTree", "regression", {"max_depth": 5})
 _learner("reg_forest", "RandomForest", "regression", {"n_estimators": 20, "max_depth": 5})
 _learner("reg_gbt", "GradientBoosting", "regression", {"max_iter": 10})
 _learner("reg_linear_svr", "LinearSVR", "regression", {"C": 1.0})
-_learner("reg_svr", "SVR", "regression", {"C": 1.0}, features=("l_discount", "l_tax"))
+_learner("reg_svr", "SVR", "regression", {"C": 1.0})
 
 
 # --- metrics ------------------------------------------------------------------
@@ -237,7 +237,7 @@ def leaderboard(spark, sf):
 
 @query("train_candidates_classification")
 def train_candidates_classification(spark, sf):
-    rows = _line_rows(spark, sf, "l_linestatus", ("l_discount", "l_tax"))
+    rows = _line_rows(spark, sf, "l_linestatus")
     return search.train_candidates(rows, "classification", ["LogisticRegression", "DecisionTree"], params={"DecisionTree": {"max_depth": 4}})[0].drop("train_time_sec")
 
 
@@ -282,7 +282,9 @@ def cluster_bisecting(spark, sf):
 
 @query("cluster_baselines")
 def cluster_baselines(spark, sf):
-    return cluster.baselines(_flat(spark, sf), "vec_id", "vec")
+    """Baselines on all components, and on the first two, where DBSCAN (three columns at most) has scores too."""
+    wide, flat = cluster.baselines(_vectors(spark, sf), "vec_id", "vec"), cluster.baselines(_flat(spark, sf), "vec_id", "vec")
+    return wide.withColumn("components", F.lit("all")).unionByName(flat.withColumn("components", F.lit("first two")))
 
 
 @query("cluster_search")

@@ -115,8 +115,9 @@ def meta_features_corpus(spark, sf):
 @query("meta_features_clustering")
 def meta_features_clustering(spark, sf):
     """Clustering row: shape and correlation features plus the scores of k-means with three clusters."""
-    names = [f"v{i}" for i in range(8)]
-    df = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    vectors = table(spark, sf, "embeddings")
+    names = [f"v{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0])]
+    df = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     row = metafeatures.meta_features(df, names, None, "clustering")
     scaled = apply_scale(df, fit_scale(df, names)).select("vec_id", pack(names).alias("vec"))
     labels, _ = kmeans(scaled, "vec_id", "vec", 3, seed=0)
