@@ -103,7 +103,7 @@ _learner("clf_linear_svc", "LinearSVC", "classification", {"C": 1.0}, label="l_l
 _learner("clf_rbf_svm", "SVC", "classification", {"C": 1.0}, label="l_linestatus")
 _learner("reg_tree", "DecisionTree", "regression", {"max_depth": 5})
 _learner("reg_forest", "RandomForest", "regression", {"n_estimators": 20, "max_depth": 5})
-_learner("reg_gbt", "GradientBoosting", "regression", {"max_iter": 10})
+_learner("reg_gbt", "GradientBoosting", "regression", {})
 _learner("reg_linear_svr", "LinearSVR", "regression", {"C": 1.0})
 _learner("reg_svr", "SVR", "regression", {"C": 1.0})
 

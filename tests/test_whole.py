@@ -38,3 +38,18 @@ def test_baselines_on_all_components(spark, sf):
     algos = ("KMeans", "Agglomerative", "DBSCAN")
     assert set(rows) == {(a, c) for a in algos for c in ("all", "first two")}
     assert rows["DBSCAN", "all"] is None and None not in (rows["KMeans", "all"], rows["Agglomerative", "all"])
+
+
+def test_boosting_has_the_default_rounds(monkeypatch):
+    class Rows:
+        def where(self, _):
+            return self
+
+    def seen(name, task, params, rows):
+        raise Seen(name, params)
+
+    monkeypatch.setattr(learning, "_line_rows", lambda *args, **kw: Rows())
+    monkeypatch.setattr(learning.learners, "fit_learner", seen)
+    with pytest.raises(Seen) as found:
+        QUERIES["reg_gbt"](None, None)
+    assert found.value.args == ("GradientBoosting", {})
