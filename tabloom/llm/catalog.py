@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import table
-from tabloom.llm import bpe, chat, jaccard, licenses, mixing, quality, secrets, sharding, topk, warc
+from tabloom.llm import bpe, chat, jaccard, licenses, mixing, quality, secrets, sharding, simhash, topk, warc
 from tabloom.llm.common import TEXT_KEY
 from tabloom.operators.shared import scratch_path
 
@@ -131,3 +131,8 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archive(table(spark, folder, "pages"), at)
     read = warc.read_archive(spark, at)
     return read.selectExpr("key AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_simhash_components")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, folder, "documents"))
