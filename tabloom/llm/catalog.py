@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import table
-from tabloom.llm import bpe, chat, jaccard, licenses, mixing, negatives, quality, secrets, sharding, simhash, topk, warc
+from tabloom.llm import bpe, chat, jaccard, licenses, mixing, negatives, phrases, quality, secrets, sharding, simhash, topk, warc
 from tabloom.llm.common import TEXT_KEY
 from tabloom.operators.shared import scratch_path
 
@@ -149,3 +149,22 @@ SELECT * FROM n WHERE rank <= 10""")
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+@query("op13_phrase_collocations", """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]'),
+    lambda x: regexp_extract_all(x, '[^\\x20\\x09]+'))) AS w FROM documents),
+f AS (SELECT lang, k, array_to_string(words, ' ') AS phrase, words, count(*) AS a FROM (
+    SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: w[i + 1:i + k])) AS words FROM p, range(1, 4) r(k)) GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.phrase, c.a, place, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS place FROM c) c JOIN f x ON x.lang = c.lang AND x.words = c.words[:place] JOIN f y ON y.lang = c.lang AND y.words = c.words[place + 1:]),
+low AS (SELECT lang, phrase, a, arg_min(l, (score, place)) AS l, arg_min(r, (score, place)) AS r, min(score) AS score FROM cut GROUP BY ALL),
+longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.phrase = longer.part WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
