@@ -1,4 +1,4 @@
-"""Density clustering (DBSCAN, Ester et al. 1996) for one to three columns.
+"""Density clustering (DBSCAN, Ester et al. 1996); on a grid for one to three columns.
 
 Points are laid on a grid whose cells are no wider than eps across, so all points of a
 cell are neighbours. Distances between cells are settled by boxes: two boxes that lie
@@ -14,18 +14,19 @@ import itertools
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.vectors import pack
-from tabloom.operators.shared import lookup_join, row_rank, settle, settle_counted
+from tabloom.operators import metric
+from tabloom.operators.graph import connect
+from tabloom.operators.shared import lookup_join, row_rank, settle
 
 LEVELS = 10
 SPLIT = 4
 PAIR_FACTOR = 8
 MIN_PAIRS = 20_000_000
-LOCAL_EDGES = 200_000
+GRID_COLUMNS = 3
 
 
 def _box(cell: Column, level: int) -> Column:
@@ -143,6 +144,8 @@ def _spread_to_points(points: DataFrame, boxes: DataFrame, single: DataFrame | N
 
 def neighbor_counts(df: DataFrame, key: str, cols: list[str], eps: float, pair_budget: int | None = None) -> DataFrame:
     """(key, n_neighbors): rows within eps of each row, itself included."""
+    if len(cols) > GRID_COLUMNS:
+        return metric.neighbor_counts(df.select(F.col(key), pack(cols).alias("_vec")), key, "_vec", eps)
     points = settle(_grid(df, key, cols, eps), "grid")
     return _counts(points, len(cols), eps, pair_budget).select(F.col("pid").alias(key), F.col("value").alias("n_neighbors"))
 
@@ -155,65 +158,17 @@ def _counts(points: DataFrame, dims: int, eps: float, pair_budget: int | None) -
     return _spread_to_points(points, boxes, single, level, F.sum)
 
 
-def _union_find(batches):
-    """(id, label) per linked id, from batches of (a, b); the smaller root always wins."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
-            ra, rb = find(a), find(b)
-            root[max(ra, rb)] = min(ra, rb)
-    ids = list(root)
-    yield pd.DataFrame({"id": ids, "label": [find(i) for i in ids]})
-
-
-def _proper(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct edges from the smaller to the larger id, and how many there are."""
-    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return settle_counted(ordered.distinct(), "links")
-
-
-def connected_labels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, label): smallest id over connected ids; ids without an edge are absent.
-
-    While there are many edges, each round takes the smallest label among neighbours
-    and then the label's own label, and edges inside a component disappear. The few
-    that are left fit one task.
-    """
-    edges, n_edges = _proper(edges)
-    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    labels = settle(ids.withColumn("label", F.col("id")), "labels")
-    while n_edges > local_edges:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("other"))
-        hooks = settle(hooks.select("label", F.least("label", "other").alias("up")), "hooks")
-        jump = hooks.select(F.col("label").alias("up"), F.col("up").alias("top"))
-        hooks = settle(lookup_join(hooks, jump, ["up"]).select("label", F.coalesce("top", "up").alias("up")), "hooks")
-        labels = settle(lookup_join(labels, hooks, ["label"]).select("id", F.coalesce("up", "label").alias("label")), "labels")
-        for end in ("a", "b"):
-            edges = lookup_join(edges, hooks.withColumnRenamed("label", end), [end]).withColumn(end, F.coalesce("up", end)).drop("up")
-        edges, n_edges = _proper(edges)
-    kind = edges.schema["a"].dataType.simpleString()
-    rest = edges.coalesce(1).mapInPandas(_union_find, f"id {kind}, label {kind}")
-    last = rest.select(F.col("id").alias("label"), F.col("label").alias("up"))
-    return lookup_join(labels, last, ["label"]).select("id", F.coalesce("up", "label").alias("label"))
-
-
 def dbscan(
-    df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int, pair_budget: int | None = None, local_edges: int = LOCAL_EDGES
+    df: DataFrame, key: str, cols: list[str], eps: float, min_samples: int, pair_budget: int | None = None
 ) -> DataFrame:
     """(key, cluster, is_core): clusters numbered by their first core row, -1 for noise.
 
-    A row that several clusters reach belongs to the lowest-numbered one.
+    A row that several clusters reach belongs to the lowest-numbered one. The grid's boxes
+    are for up to three columns; wider points are clustered in metric cells, with the same result.
     """
     dims = len(cols)
-    if dims > 3:
-        raise ValueError("density clustering takes one to three columns; reduce wider data first")
+    if dims > GRID_COLUMNS:
+        return metric.dbscan(df.select(F.col(key), pack(cols).alias("_vec")), key, "_vec", eps, min_samples)
     points = settle(_grid(df, key, cols, eps), "grid")
     counts = _counts(points, dims, eps, pair_budget)
     marked = settle(points.join(counts, "pid").withColumn("is_core", F.col("value") >= min_samples).drop("value"), "cores")
@@ -233,7 +188,7 @@ def dbscan(
     for side in "ab":
         named = cells.select(F.col("node").alias(f"{side}_root"), F.col("label").alias(side))
         pairs = pairs.join(named, f"{side}_root")
-    found = connected_labels(pairs.select("a", "b"), local_edges).select(F.col("id").alias("label"), F.col("label").alias("top"))
+    found = connect(pairs.select("a", "b")).select(F.col("node").alias("label"), F.col("component").alias("top"))
     owned = settle(cells.join(found, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "owned")
     names = row_rank(owned.select("label").distinct(), ["label"], "cluster")
     cell_cluster = settle(lookup_join(owned, names, ["label"]).select("node", "cluster"), "clusters")

@@ -42,7 +42,7 @@ def brute_dbscan(cloud, eps, m):
     return near.sum(1), core, labels
 
 
-@pytest.mark.parametrize("tight", [{}, {"pair_budget": 50, "local_edges": 0}])
+@pytest.mark.parametrize("tight", [{}, {"pair_budget": 50}])
 def test_dbscan(points, cloud, tight):
     counts, core, labels = brute_dbscan(cloud, 0.1, 5)
     got = {r.id: r.n_neighbors for r in density.neighbor_counts(points, "id", ["x", "y"], 0.1, tight.get("pair_budget")).collect()}
@@ -64,13 +64,6 @@ def test_border_point_between_clusters(spark):
     assert [found[i] for i in range(11)] == [0] * 5 + [1] * 5 + [0]
 
 
-def test_long_chain_of_labels(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(500, 501)], "a long, b long")
-    for local in (0, 1000):
-        got = {r.id: r.label for r in density.connected_labels(edges, local).collect()}
-        assert set(got.values()) == {0, 500} and got[40] == 0 and got[501] == 500
-
-
 @pytest.mark.parametrize("block_rows,itself,metric", [(4096, False, "manhattan"), (40, True, "euclidean")])
 def test_neighbors(points, cloud, block_rows, itself, metric):
     v = points.select("id", F.array("x", "y").alias("vec"))
