@@ -179,7 +179,7 @@ def task_mismatch(spark, sf):
 
 
 def _corpus(spark, sf):
-    """Datasets of events per user: meta-features with the best of three grouped learners."""
+    """Datasets of events per user: meta-features with the best of the grouped learners."""
     df = table(spark, sf, "events").select(
         "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("dataset_id"), F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day"),
         F.get_json_object("props", "$.k").cast("double").alias("k"), "value")
@@ -216,3 +216,17 @@ def automl_run(spark, sf):
     store = shared.scratch_path(spark, "store")
     automl.automl_run(df, "o_totalprice", ["o_orderkey"], recommender, store=store, dataset="orders")
     return spark.read.parquet(f"{store}/leaderboard").drop("train_time_sec")
+
+
+@query("recommend_classification")
+def recommend_classification(spark, sf):
+    """Two classifiers per dataset of events: meta-features of all datasets, labels from grouped trees and neighbours."""
+    df = table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("dataset_id"), F.hour("ts").alias("hour"), F.dayofmonth("ts").alias("day"), "value", "event_type")
+    df, cols = split.hash_split(df, ["event_id"]), ["hour", "day", "value"]
+    raw = df.drop("split", "event_id")
+    meta = metafeatures.meta_features(raw, cols, "event_type", "classification", by=["dataset_id"], raw=raw)
+    best = best_per(grouped_scores(df, ["dataset_id"], cols, "event_type", task="classification"), ["dataset_id"])
+    labelled = shared.settle(recommend.labelled(meta, best, ["dataset_id"]), "corpus")
+    recommender, _ = recommend.train_recommender(labelled, "classification", ["dataset_id"])
+    return recommender.recommend(labelled, ["dataset_id"])

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import query, r, rounded, table
-from tabloom.operators import clusterscore, grouped_fit, metafeatures, select, split
+from tabloom.operators import clusterscore, grouped_fit, grouped_trees, learners, metafeatures, select, split
+from tabloom.operators.shared import scratch_path
+from tabloom.plans import corpus, search
+from tabloom.sources import results
 from tabloom.operators.cluster import kmeans
 from tabloom.operators.information import DECILES
 from tabloom.operators.scale import apply_scale, fit_scale
@@ -158,3 +161,79 @@ def meta_labels(spark, sf):
     best = select.best_per(scores, ["dataset_id"])
     about = df.groupBy("dataset_id").agg(F.count("*").alias("n_instances"), F.avg("l_quantity").alias("mean_quantity"))
     return rounded(about.join(best, "dataset_id"), ["mean_quantity", "best_score"])
+
+
+_TREE_BINS, _TREE_LEAST = 16, 20
+_TREE_LONG = " UNION ALL ".join(f"SELECT dataset_id, {i} AS f, '{c}' AS feature, {c}::DOUBLE AS x, l_extendedprice AS y, rid FROM d" for i, c in enumerate(FEATURES))
+
+
+def _level_sql(node: str, source: str) -> str:
+    """Best split of every node of one level."""
+    return f"""c_{node} AS (SELECT dataset_id, node, f, feature, t, count(*) AS n, count(*) FILTER (WHERE x <= t) AS nl, sum(y) AS s, sum(y) FILTER (WHERE x <= t) AS sl
+  FROM {source} JOIN cuts USING (dataset_id, f, feature) GROUP BY ALL),
+ g_{node} AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM c_{node} WHERE nl >= {_TREE_LEAST} AND n - nl >= {_TREE_LEAST}),
+ b_{node} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, node ORDER BY round(gain, 9) DESC, f, t) AS p FROM g_{node}) WHERE p = 1)"""
+
+
+@query("grouped_trees", f"""WITH d AS (SELECT *, concat(l_returnflag, l_linestatus) AS dataset_id, row_number() OVER () AS rid FROM lineitem), l AS ({_TREE_LONG}),
+ cuts AS (SELECT DISTINCT dataset_id, f, feature, unnest(q) AS t FROM (SELECT dataset_id, f, feature, quantile_cont(x, {[i / _TREE_BINS for i in range(1, _TREE_BINS)]}) AS q FROM l GROUP BY ALL)),
+ l0 AS (SELECT *, 0 AS node FROM l), {_level_sql("r", "l0")},
+ placed AS (SELECT l.dataset_id, rid, CASE WHEN x <= t THEN 1 ELSE 2 END AS node FROM l JOIN b_r USING (dataset_id, f, feature)),
+ l1 AS (SELECT l.*, placed.node FROM l JOIN placed USING (dataset_id, rid)), {_level_sql("s", "l1")}
+SELECT dataset_id, node, feature, {r('t')} AS threshold, n, {r('gain / s', 6)} AS gain_share FROM (SELECT * FROM b_r UNION ALL SELECT * FROM b_s)""")
+def grouped_trees_query(spark, sf):
+    """The splits of two-level regression trees for the price in every dataset, all datasets at once."""
+    df = table(spark, sf, "lineitem").withColumn("dataset_id", F.concat("l_returnflag", "l_linestatus"))
+    models, splits = grouped_trees.fit_grouped_trees(df, ["dataset_id"], FEATURES, "l_extendedprice", "regression", depth=2, least=_TREE_LEAST, bins=_TREE_BINS)
+    # The share of the node's sum of prices, as gains are too large to compare digit by digit.
+    binned = grouped_trees._binned(df, ["dataset_id"], FEATURES, models.select("dataset_id", "cuts")).join(models.select("dataset_id", "splits"), "dataset_id")
+    inside = binned.select("dataset_id", "l_extendedprice", F.explode(F.array(F.lit(0), grouped_trees.walk(F.col("splits"), F.col("bins"), 1))).alias("node"))
+    sums = inside.groupBy("dataset_id", "node").agg(F.sum("l_extendedprice").alias("s"))
+    out = splits.join(sums, ["dataset_id", "node"]).withColumn("gain_share", F.col("gain") / F.col("s"))
+    return rounded(out.select("dataset_id", "node", "feature", "threshold", "n", "gain_share"), ["threshold", "gain_share"])
+
+
+_RUN_FITS = f"""{_SPLIT}, t AS (SELECT dataset_id, covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx,
+  avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM s WHERE split = 'train' GROUP BY 1),
+ sc AS (SELECT dataset_id, split, 1 - sum((l_extendedprice - my - sxy / sxx * (l_quantity - mx)) ** 2) / (var_pop(l_extendedprice) * count(*)) AS score FROM s JOIN t USING (dataset_id) GROUP BY 1, 2)"""
+
+
+@query("corpus_leaderboard", f"""WITH {_RUN_FITS}
+SELECT dataset_id AS dataset_name, 'done' AS status, count(*)::BIGINT AS n_rows, 'regression' AS task_type, 'LinearRegression' AS best_model, (SELECT {r('score')} FROM sc WHERE sc.dataset_id = s.dataset_id AND sc.split = 'test') AS score
+FROM s GROUP BY dataset_id UNION ALL SELECT 'absent', 'missing', NULL, NULL, NULL, NULL UNION ALL SELECT 'nothing', 'empty', 0, NULL, NULL, NULL
+UNION ALL SELECT 'no target', 'failed', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'), NULL, NULL, NULL""")
+def corpus_leaderboard(spark, sf):
+    """A queue of datasets worked through: one per return flag and line status, and three that have no result."""
+    lines, root = table(spark, sf, "lineitem").withColumn("dataset_id", F.concat("l_returnflag", "l_linestatus")), scratch_path(spark, "corpus")
+    lines.write.partitionBy("dataset_id").parquet(f"{root}/data")
+    lines.limit(0).write.parquet(f"{root}/nothing")
+    lines.where("l_returnflag = 'R'").write.parquet(f"{root}/returned")
+    names = [row["dataset_id"] for row in lines.select("dataset_id").distinct().collect()]
+    queue = [(n, f"{root}/data/dataset_id={n}", "l_extendedprice") for n in names]
+    queue += [("absent", f"{root}/none", "x"), ("nothing", f"{root}/nothing", "l_tax"), ("no target", f"{root}/returned", "price")]
+    for name, path, target in queue:
+        results.enqueue(spark, f"{root}/queue", "user", name, path, target)
+
+    def fit(df, target):
+        rows = learners.to_rows(split.hash_split(df, fx.LINE_KEY), fx.LINE_KEY, ["l_quantity"], F.col(target))
+        return "regression", search.train_candidates(rows, "regression", ["LinearRegression"])[0], None
+
+    found = corpus.run_queue(spark, spark.read.parquet(f"{root}/queue"), f"{root}/store", fit)
+    return rounded(found.select("dataset_name", "status", "n_rows", "task_type", "best_model", "score"), ["score"])
+
+
+_CLASS_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+_CLASS_LONG = " UNION ALL ".join(f"SELECT dataset_id, {i} AS f, '{c}' AS feature, {c}::DOUBLE AS x, l_returnflag AS y FROM d" for i, c in enumerate(_CLASS_FEATURES))
+
+
+@query("grouped_trees_classification", f"""WITH d AS (SELECT *, concat(l_linestatus, l_linenumber) AS dataset_id FROM lineitem), l AS ({_CLASS_LONG}),
+ cuts AS (SELECT DISTINCT dataset_id, f, feature, unnest(q) AS t FROM (SELECT dataset_id, f, feature, quantile_cont(x, {[i / _TREE_BINS for i in range(1, _TREE_BINS)]}) AS q FROM l GROUP BY ALL)),
+ c AS (SELECT dataset_id, f, feature, t, y, count(*) AS n, count(*) FILTER (WHERE x <= t) AS nl FROM l JOIN cuts USING (dataset_id, f, feature) GROUP BY ALL),
+ g AS (SELECT dataset_id, f, feature, t, sum(n)::BIGINT AS n, sum(nl) AS left_n, sum(nl * nl) / sum(nl) + sum((n - nl) * (n - nl)) / sum(n - nl) - sum(n * n) / sum(n) AS gain FROM c GROUP BY ALL HAVING sum(nl) >= {_TREE_LEAST} AND sum(n - nl) >= {_TREE_LEAST}),
+ b AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY round(gain, 9) DESC, f, t) AS p FROM g)
+SELECT dataset_id, 0 AS node, feature, {r('t')} AS threshold, n, {r('gain')} AS gain FROM b WHERE p = 1""")
+def grouped_trees_classification(spark, sf):
+    """The first Gini split for the return flag in every dataset."""
+    df = table(spark, sf, "lineitem").withColumn("dataset_id", F.concat("l_linestatus", "l_linenumber"))
+    _, splits = grouped_trees.fit_grouped_trees(df, ["dataset_id"], _CLASS_FEATURES, "l_returnflag", "classification", depth=1, least=_TREE_LEAST, bins=_TREE_BINS)
+    return rounded(splits, ["threshold", "gain"])
