@@ -44,8 +44,8 @@ def ball_tree(points: np.ndarray, leaf: int = LEAF) -> list[tuple]:
     return nodes
 
 
-def search(nodes: list[tuple], points: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-    """The ``k`` best (score, id) with scores of at least ``floor``; ties to the smaller id.
+def search(nodes: list[tuple], points: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, floor: float, own: int | None = None) -> list[tuple[int, int]]:
+    """The ``k`` best (score, id) with scores of at least ``floor``; ties to the smaller id, none of id ``own``.
 
     Nodes are taken by the upper bound of the inner product, q.c + |q| r, from the highest
     down; the search ends where the bound is below the k-th score so far, or ``floor``.
@@ -70,7 +70,7 @@ def search(nodes: list[tuple], points: np.ndarray, ids: np.ndarray, query: np.nd
                     heapq.heappush(heap, (-b, child))
             continue
         scores = points[rows] @ query
-        good = np.flatnonzero(scores >= floor)
+        good = np.flatnonzero(scores >= floor if own is None else (scores >= floor) & (ids[rows] != own))
         if len(good):
             order = good[np.lexsort((ids[rows[good]], -scores[good]))[:k]]
             best = sorted(best + [(int(scores[i]), int(ids[rows[i]])) for i in order], key=lambda x: (-x[0], x[1]))[:k]
@@ -79,10 +79,10 @@ def search(nodes: list[tuple], points: np.ndarray, ids: np.ndarray, query: np.nd
     return best
 
 
-def _whole(points: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+def _whole(points: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
     """As `search`, in whole numbers of any size, over all points; scores stop at the ends of a long."""
     scores = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in points]
-    best = sorted(zip(scores, map(int, ids), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+    best = sorted(((s, i) for s, i in zip(scores, map(int, ids), strict=True) if i != own), key=lambda x: (-x[0], x[1]))[:k]
     return [(max(min(s, 2**63 - 1), -(2**63)), i) for s, i in best]
 
 
@@ -102,8 +102,8 @@ def _cells(k: int, leaf: int):
             wanted, names, floors = _matrix(queries.column("v")), queries.column("rep").to_numpy(), queries.column("floor").to_numpy()
             largest = (np.abs(points).max(initial=0.0) * np.abs(wanted).max(initial=0.0)) * max(points.shape[1], 1)
             nodes = ball_tree(points, leaf) if largest < EXACT else []
-            for query, name, floor in zip(wanted, names, floors, strict=True):
-                best = search(nodes, points, ids, query, k, float(floor)) if nodes else _whole(points, ids, query, k)
+            for query, name, floor, own in zip(wanted, names, floors, queries.column("own").to_pylist(), strict=True):
+                best = search(nodes, points, ids, query, k, float(floor), own) if nodes else _whole(points, ids, query, k, own)
                 asked += [int(name)] * len(best)
                 scores += [s for s, _ in best]
                 found += [i for _, i in best]
@@ -126,8 +126,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     joined to the queries, so that later trees are cut from the start.
 
     Null vectors, those with a null, NaN or infinite component, and null keys take no part.
-    Vectors are compared with those of equal length. Repeated rows count once; a key with
-    several vectors never answers itself. Of equal vectors only the k + 1 smallest keys can
+    Vectors are compared with those of equal length. Repeated rows count once. A key with
+    several vectors never answers itself, and each of its vectors is a query with ranks of its own. Of equal vectors only the k + 1 smallest keys can
     be in an answer, so only they are searched, and equal queries are searched once: a very
     common vector is no hot spot. Products beyond the range of exact doubles are summed in
     whole numbers; scores stop at the ends of a long. Empty table: no rows.
@@ -143,10 +143,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
     n = base.count()
     shards = max(1, -(-n // shard))
     vectors = settle(kept.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "shards")
-    asked = base.where("asks")
-    reps = asked.groupBy("v").agg(F.min("vec_id").alias("rep"))
+    asked = base.where("asks").select("vec_id", "v")
+    many = asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id", F.col("vec_id").alias("own"))
+    # A query leaves its own key out of the k + 1 by name; a key with several vectors, within the search.
+    asked = settle(asked.join(many, "vec_id", "left"), "asked")
     blocks = max(1, -(-asked.count() // block))
-    queries = settle(reps.select("rep", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")), "queries")
+    reps = asked.select("v", "own").distinct().withColumn("rep", F.monotonically_increasing_id())
+    queries = settle(reps.select("rep", "own", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")), "queries")
 
     best, done = None, 0
     while done < shards:
@@ -163,7 +166,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
         place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))
         best = settle(both.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "best")
         done = upto
-    named = asked.select(F.col("vec_id").alias("query_id"), "v").join(reps, "v").select("query_id", "rep")
+    same = (F.col("a.v") == F.col("q.v")) & F.col("a.own").eqNullSafe(F.col("q.own"))
+    named = asked.alias("a").join(queries.alias("q"), same).select(F.col("a.vec_id").alias("query_id"), "q.rep")
     answers = named.join(best, "rep").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
