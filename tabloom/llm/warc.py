@@ -25,9 +25,10 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def _record_id(key: Column) -> Column:
-    """A urn:uuid (version 5 form) that the key decides."""
-    d = F.sha1(F.concat(F.lit("record:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def _record_id(key: Column, url: Column, digest: Column, copy: Column) -> Column:
+    """A urn:uuid (version 5 form) that the record decides: key, URL, payload, and number among equal rows."""
+    named = F.to_json(F.struct(key.cast("string").alias("key"), url.alias("url"), digest.alias("digest"), copy.alias("copy")))
+    d = F.sha1(F.concat(F.lit("record:"), named))
     parts = [F.substring(d, 1, 8), F.substring(d, 9, 4), F.concat(F.lit("5"), F.substring(d, 14, 3)), F.concat(F.lit("a"), F.substring(d, 18, 3)), F.substring(d, 21, 12)]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -51,7 +52,8 @@ def write_archive(
     revisit it; rows below that are all responses.
 
     A null payload is empty. Null URLs leave out the field. Null keys sort last. Rows that
-    repeat a key are records of their own (a repeated first key is a response each time).
+    repeat a key are records of their own (a repeated first key is a response each time) with
+    ids of their own, also where they are equal in all.
     An empty table gives empty tables. Extra columns are ignored. Copies of
     one payload are combined before the shuffle, so a payload that a third of all pages
     share moves once per task.
@@ -66,17 +68,21 @@ def write_archive(
     kept.select("digest", F.col("low.n_bytes").alias("n_bytes"), sealed.alias("payload")).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     narrow = stamped.select("_tl_key", "_tl_url", "digest", "n_bytes", base32_sha1(F.col("payload")).alias("sha1"))
-    firsts = narrow.groupBy("digest").agg(F.min("_tl_key").alias("first"))
-    joined = narrow.join(firsts, "digest")
+    # Equal rows are numbered without a window: they are counted, and as many made of each.
+    equal = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("n"))
+    numbered = equal.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    lowest = F.min(F.struct(F.col("_tl_key").isNull().alias("none"), "_tl_key", "_tl_url"))
+    firsts = narrow.groupBy("digest").agg(lowest.alias("f")).select("digest", F.col("f._tl_key").alias("first"), F.col("f._tl_url").alias("first_url"))
+    joined = numbered.join(firsts, "digest")
     again = (F.col("n_bytes") >= least) & ~F.col("_tl_key").eqNullSafe(F.col("first"))
     kind = F.when(again, "revisit").otherwise("response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END + END))
     length = F.octet_length(http) + F.when(again, F.lit(0)).otherwise(F.col("n_bytes"))
     header = F.concat(
-        F.lit(f"WARC/1.1{END}"), _field("WARC-Type", kind), _field("WARC-Record-ID", _record_id(F.col("_tl_key"))), _field("WARC-Date", F.lit(date)),
+        F.lit(f"WARC/1.1{END}"), _field("WARC-Type", kind), _field("WARC-Record-ID", _record_id(F.col("_tl_key"), F.col("_tl_url"), F.col("digest"), F.col("copy"))), _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("_tl_url")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _field("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        _field("WARC-Refers-To", F.when(again, _record_id(F.col("first")))), _field("Key", F.col("_tl_key").cast("string")),
+        _field("WARC-Refers-To", F.when(again, _record_id(F.col("first"), F.col("first_url"), F.col("digest"), F.lit(1)))), _field("Key", F.col("_tl_key").cast("string")),
         _field("Refers-To-Key", F.when(again, F.col("first").cast("string"))), _field("Content-Type", F.lit("application/http; msgtype=response")),
         _field("Content-Length", length.cast("string")), F.lit(END), http,
     )
