@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ROW_KEY, rows_by_key, text_of, with_row_key
+from tabloom.operators.graph import connect
 from tabloom.operators.shared import quoted, settle, settle_counted
 
 WIDTH, PERCENT = 5, 75
@@ -28,6 +29,8 @@ SMALL_MOST = 64
 MORE = 8
 #: Words of 64 bits in the filter that says which texts are needed again.
 FILTER = 1 << 18
+#: Sets a task remembers; when it forgets them, postings may repeat, which costs and changes nothing.
+MET_MOST = 1 << 20
 #: Members of a block when sets of one bag are compared.
 BLOCK = 512
 
@@ -151,20 +154,25 @@ def _leading(rows: DataFrame, key: str, hot: tuple, width: int, percent: int) ->
     ``lead`` are the first shingles of the set in the common order (rare before frequent,
     then by hash), so many that a linked set shares two, or `shared`, of them. From
     ``n_light`` on they are known to be frequent. ``work`` adds up how often they are expected.
+    Of the equal sets that a task meets, the first has them and the others have none, so that a
+    set's postings do not repeat with its copies.
     """
     frequent = rows.sparkSession.sparkContext.broadcast(hot)
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, met = _Words(), set()
         values, counts = frequent.value
         for batch in batches:
             out = {c: [] for c in ["n", "sig", "check", "lead", "n_light", "work"]}
             for value in batch.column(1):
                 found = shingles(value.as_py(), known, width)
                 n, data = len(found), found.tobytes()
-                lead, n_light, load = found, 0, 0.0
-                if n:
+                sig, lead, n_light, load = xxhash.xxh3_64_intdigest(data), found[:0], 0, 0.0
+                if n and sig not in met:
+                    if len(met) >= MET_MOST:
+                        met.clear()
+                    met.add(sig)
                     at = np.minimum(np.searchsorted(values, found), max(len(values) - 1, 0))
                     is_hot = values[at] == found if len(values) else np.zeros(n, bool)
                     light, heavy = found[~is_hot], found[is_hot]
@@ -175,7 +183,7 @@ def _leading(rows: DataFrame, key: str, hot: tuple, width: int, percent: int) ->
                     n_light = min(size, len(light))
                     load = float(n_light + often[order][: size - n_light].sum())
                 out["n"].append(n)
-                out["sig"].append(xxhash.xxh3_64_intdigest(data))
+                out["sig"].append(sig)
                 out["check"].append(xxhash.xxh64_intdigest(data, seed=7))
                 out["lead"].append(lead.view(np.int64))
                 out["n_light"].append(n_light)
@@ -350,32 +358,6 @@ def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Co
     return fits & F.when(fits, (100 + percent) * count <= (100 - percent) * (n_a + n_b)).otherwise(F.lit(False))
 
 
-def connect(edges: DataFrame) -> DataFrame:
-    """(node, component): the lowest node that edges (a, b) reach, for every node of an edge.
-
-    Large and small stars in turn: every node hands its higher, then its lower, neighbours to
-    the lowest of them, until nothing changes. The number of rounds grows with the logarithm of
-    the longest path. A node with many neighbours is joined to one row (its lowest), which
-    Spark splits.
-    """
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        joined = star.join(low, "u")
-        down = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
