@@ -138,5 +138,7 @@ def judge(
 def filter_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows of ``df`` that `judge` keeps, with all columns; equal texts fare alike."""
     rows = df.withColumns(dict(zip(TEXT_KEY, text_hashes(text_of(text)), strict=True)))
-    kept = judge(df, labels, key, text, **rules).where("kept").select(*TEXT_KEY).distinct()
+    # Written before it is filtered: a filter would be moved below the rules and count them anew.
+    judged = settle(judge(df, labels, key, text, **rules).select(*TEXT_KEY, "kept"), "judged")
+    kept = judged.where("kept").select(*TEXT_KEY).distinct()
     return rows.join(kept, TEXT_KEY, "left_semi").select(*[quoted(c) for c in df.columns])
