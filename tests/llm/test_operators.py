@@ -510,3 +510,48 @@ def test_sketches_bound_the_difference_of_sets(spark):
         near = jaccard.may_link(F.col(f"s_{a}"), F.col(f"s_{b}"), F.col(f"n_{a}"), F.col(f"n_{b}"), 75)
         for row in table.select("n_a", "n_b", near.alias("near")).collect():
             assert row["near"] or 100 * row["n_b"] < 75 * row["n_a"], row
+
+
+def test_top_k_with_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(0, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(9)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 10)]
+    rows += [(50, rows[0][1]), (50, rows[10][1]), (100, rows[0][1]), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for sizes in [{}, {"shard": 4, "block": 2, "leaf": 2}]:
+        got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **sizes).collect())
+        scaled = list(dict.fromkeys((i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows))
+        want = []
+        for i, v in scaled:
+            if i % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in scaled if j != i)[:5]
+                want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+        assert got == sorted(want)
+
+
+def test_copies_of_a_set_have_its_postings_once(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    near = [*words[:100], "other", *words[101:]]
+    counted, settle = {}, jaccard.settle
+
+    def watch(df, name="table"):
+        out = settle(df, name)
+        counted.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settle", watch)
+    rows = [(i, " ".join(words), "a") for i in range(200)] + [(300, " ".join(near), "a"), (None, " ".join(words), "b"), (5, " ".join(words), "a")]
+    out = jaccard.jaccard_components(docs_of(spark, rows)).collect()
+    assert {r.component_id for r in out} == {0} and len(out) == 203
+    assert 0 < counted["postings"] <= 2 * 300
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "a"), (1, "v", "a"), (2, "u", "a"), (None, None, "a"), (None, None, None)]
+    at = f"{tmp_path}/w"
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), at)
+    heads = [r.header for r in warc.read_archive(spark, at).collect()]
+    ids = [re.search(r"WARC-Record-ID: (\S+)", h)[1] for h in heads]
+    assert len(set(ids)) == len(rows)
+    responses = {re.search(r"WARC-Record-ID: (\S+)", h)[1] for h in heads if "WARC-Type: response" in h}
+    assert all(re.search(r"WARC-Refers-To: (\S+)", h)[1] in responses for h in heads if "WARC-Type: revisit" in h)
