@@ -260,6 +260,11 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
 
 
+def _flat(spark, sf):
+    emb = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.array(emb[0].cast("double"), emb[1].cast("double")).alias("vec"))
+
+
 @query("cluster_kmeans")
 def cluster_kmeans(spark, sf):
     return cluster.kmeans(_vectors(spark, sf), "vec_id", "vec", 10)[0].select("vec_id", "cluster")
@@ -277,7 +282,9 @@ def cluster_bisecting(spark, sf):
 
 @query("cluster_baselines")
 def cluster_baselines(spark, sf):
-    return cluster.baselines(_vectors(spark, sf), "vec_id", "vec")
+    """Baselines on all components, and on the first two."""
+    wide, flat = cluster.baselines(_vectors(spark, sf), "vec_id", "vec"), cluster.baselines(_flat(spark, sf), "vec_id", "vec")
+    return wide.withColumn("components", F.lit("all")).unionByName(flat.withColumn("components", F.lit("first two")))
 
 
 @query("cluster_search")
