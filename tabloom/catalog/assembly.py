@@ -37,6 +37,25 @@ def batch_score(spark, sf):
     return rounded(bundle.score(df, model, art), ["value", "prediction"])
 
 
+_GRADES = "CASE WHEN l_linenumber <= 2 THEN -7 WHEN l_linenumber <= 4 THEN 2 ELSE 1990 END"
+
+
+@query("score_integer_labels", f"""SELECT {', '.join(fx.LINE_KEY)}, grade, grade AS prediction, (grade = -7)::INT::DOUBLE AS prob_class_0, (grade = 2)::INT::DOUBLE AS prob_class_1,
+ (grade = 1990)::INT::DOUBLE AS prob_class_2 FROM (SELECT *, {_GRADES} AS grade FROM lineitem)""")
+def score_integer_labels(spark, sf):
+    """Integer classes of any value: codes by size while learning, the values again in the scores.
+
+    The grade follows from the line number, which a tree finds whatever the other feature is.
+    """
+    df = table(spark, sf, "lineitem").select(*fx.LINE_KEY, F.col("l_linenumber").alias("line"), "l_quantity", F.expr(_GRADES).alias("grade"))
+    prepared = prepare.prepare(df, "grade", fx.LINE_KEY)
+    rows = learners.to_rows(prepared.rows, fx.LINE_KEY, prepared.artifact.features, automl.class_label(prepared))
+    model = learners.fit_learner("DecisionTree", "classification", {"max_depth": 5}, rows.where("split = 'train'"))
+    path = shared.scratch_path(spark, "bundle")
+    bundle.save_bundle(path, model, prepared.artifact, "DecisionTree", spark)
+    return bundle.score(df, *bundle.load_bundle(path, spark)).drop("line", "l_quantity")
+
+
 @query("score_preview", f"WITH {_VALUE} SELECT event_id, user_id, {r('value')} AS value, {r('b0 + b1 * user_id')} AS prediction FROM t, w ORDER BY event_id LIMIT 100")
 def score_preview(spark, sf):
     df, model, art = _value_model(spark, sf)

@@ -274,6 +274,34 @@ def apply_artifact(spark, sf):
     return rounded(prepare.Artifact.load(path, spark).apply(df, ["o_orderkey"]), ["o_totalprice", "who"])
 
 
+_DATED = ["o_totalprice", "year", "month", "day", "weekday", "elapsed"]
+
+
+def _dated_sql() -> str:
+    out = " + ".join(_out_sql(c, i) for i, c in enumerate(_DATED))
+    scaled = ", ".join(r(f"({c} - (SELECT avg({c}) FROM k)) / (SELECT stddev_pop({c}) FROM k)") + f" AS {name}" for c, name in (("o_totalprice", "o_totalprice"), ("day", "o_orderdate_day")))
+    return f"""WITH s AS (SELECT o_orderkey, o_totalprice, o_orderdate, {fx.split_case(['o_orderkey'])} AS split FROM orders),
+ t AS (SELECT o_orderkey, o_totalprice, split, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day, isodow(o_orderdate) - 1 AS weekday,
+  floor((epoch_us(o_orderdate) - (SELECT min(epoch_us(o_orderdate)) FROM s WHERE split = 'train')) / 86400000000.0)::BIGINT AS elapsed FROM s),
+ {_bounds_sql(_DATED, "t WHERE split = 'train'")}, k AS (SELECT t.* FROM t, b WHERE split = 'train' AND {out} < 1)
+SELECT o_orderkey, {scaled}, year::DOUBLE AS o_orderdate_year, month::DOUBLE AS o_orderdate_month, weekday::DOUBLE AS o_orderdate_weekday, elapsed::DOUBLE AS elapsed_days FROM t"""
+
+
+@query("apply_artifact_dates", _dated_sql())
+def apply_artifact_dates(spark, sf):
+    """A stored chain cuts the dates of raw rows itself, counting days from the first training date.
+
+    Year and elapsed days go together, so pruning drops the latter; they are read from the step before it.
+    """
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    path = shared.scratch_path(spark, "artifact")
+    prepare.prepare(df, "o_orderpriority", ["o_orderkey"], expand_dates=True).artifact.save(path, spark)
+    art = prepare.Artifact.load(path, spark)
+    days = art.fill(df, ["o_orderkey"]).select("o_orderkey", F.col("o_orderdate_elapsed_days").cast("double").alias("elapsed_days"))
+    out = art.apply(df, ["o_orderkey"]).select("o_orderkey", "o_totalprice", *[f"o_orderdate_{p}" for p in ("year", "month", "day", "weekday")])
+    return rounded(out, ["o_totalprice", "o_orderdate_day"]).join(days, "o_orderkey")
+
+
 @query("eval_union", f"SELECT split, count(*)::BIGINT AS n, {r('sum(value)', 3)} AS total FROM (SELECT value, {fx.split_case(['event_id'])} AS split FROM events) WHERE split <> 'train' GROUP BY split")
 def eval_union(spark, sf):
     df = split.hash_split(table(spark, sf, "events"), ["event_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,20 +104,39 @@ def date_columns(df: DataFrame, label: str | None = None, share: float = 0.8) ->
 def expand_dates(df: DataFrame, cols: list[str] | None = None, label: str | None = None) -> DataFrame:
     """Replace date columns by eight parts each; weekday 0 is Monday."""
     cols = date_columns(df, label) if cols is None else cols
+    return add_date_parts(df, fit_dates(df, cols)).drop(*cols)
+
+
+def _moment(df: DataFrame, name: str) -> Column:
+    """The column as a timestamp; text that is no date and columns of other types give null."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return text.parse_date(quoted(name)).cast("timestamp")
+    stamps = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return (quoted(name) if isinstance(kind, stamps) else F.lit(None)).cast("timestamp")
+
+
+def fit_dates(df: DataFrame, cols: list[str]) -> dict[str, int | None]:
+    """{column: its earliest moment in microseconds}, null for a column without any."""
     if not cols:
-        return df
-    typed = df
-    for c in cols:
-        is_text = isinstance(df.schema[c].dataType, T.StringType)
-        typed = typed.withColumn(c, (text.parse_date(quoted(c)) if is_text else quoted(c)).cast("timestamp"))
-    first = typed.agg(*[F.unix_micros(F.min(quoted(c))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return {}
+    first = df.agg(*[F.unix_micros(F.min(_moment(df, c))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return {c: first[f"m{i}"] for i, c in enumerate(cols)}
+
+
+def add_date_parts(df: DataFrame, fitted: dict[str, int | None]) -> DataFrame:
+    """Adds the eight parts of each fitted column that is there, days counted from the fitted moment.
+
+    Columns already named like a part are replaced; rows before the fitted moment have negative days.
+    """
     parts = {"year": F.year, "month": F.month, "day": F.dayofmonth, "weekday": F.weekday, "hour": F.hour, "minute": F.minute, "second": F.second}
-    extra = []
-    for i, c in enumerate(cols):
-        extra += [fn(quoted(c)).alias(f"{c}_{name}") for name, fn in parts.items()]
-        since = F.unix_micros(quoted(c)) - F.lit(first[f"m{i}"])
-        extra.append(F.floor(since / F.lit(86_400_000_000)).cast("long").alias(f"{c}_elapsed_days"))
-    return typed.select(*[quoted(c) for c in df.columns if c not in cols], *extra)
+    extra = {}
+    for c in [c for c in fitted if c in df.columns]:
+        moment = _moment(df, c)
+        extra.update({f"{c}_{name}": fn(moment) for name, fn in parts.items()})
+        since = F.unix_micros(moment) - F.lit(fitted[c]).cast("long")
+        extra[f"{c}_elapsed_days"] = F.floor(since / F.lit(86_400_000_000)).cast("long")
+    return df.withColumns(extra) if extra else df
 
 
 def align(df: DataFrame, columns: list[tuple[str, str]], default=None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,13 +82,30 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large table to a table with few rows per key.
 
-    The lookup side is written and counted first. It is broadcast up to ``bound`` rows
-    of fixed width; otherwise it is left to Spark, which knows the size of the written table,
+    The lookup side is written and measured first. It is broadcast up to ``bound`` rows
+    and ``BROADCAST_BYTES``; otherwise it is left to Spark, which knows the size of the written table,
     and, where it shuffles, splits the partitions of keys with many rows.
     """
-    small, n_small = settle_counted(small, "lookup")
+    small = settle(small, "lookup")
     flat = all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType)) for f in small.schema.fields)
-    return big.join(F.broadcast(small) if flat and n_small <= bound else small, on, how)
+    if not flat:
+        return big.join(small, on, how)
+    return measured_join(big, small, on, *measure(small), how, bound)
+
+
+def measure(table: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their values: text by its length, 16 for each column besides."""
+    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    length = sum((F.coalesce(F.octet_length(quoted(c)).cast("long"), F.lit(0)) for c in texts), F.lit(0).cast("long"))
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"] + 16 * len(table.columns) * row["n"]
+
+
+def measured_join(
+    big: DataFrame, small: DataFrame, on: list[str], rows: int, size: int, how: str = "left", bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """``lookup_join`` for a stored table that was measured before; starts no job."""
+    return big.join(F.broadcast(small) if rows <= bound and size <= BROADCAST_BYTES else small, on, how)
 
 
 def in_order(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
