@@ -108,6 +108,27 @@ _learner("reg_linear_svr", "LinearSVR", "regression", {"C": 1.0})
 _learner("reg_svr", "SVR", "regression", {"C": 1.0})
 
 
+_SIDES = """SELECT k, feature, threshold, n, c, p, sum(m) OVER w AS nl, sum(mc) OVER w AS cl FROM cells WINDOW w AS (PARTITION BY k, feature ORDER BY threshold)"""
+_GL, _GR, _PQ = "(nl * p - cl)", "((n - nl) * p - (c - cl))", "(p * (1 - p))"
+
+
+@query("boost_one_split", f"""WITH d AS (SELECT *, {fx.split_case(KEY)} AS split FROM lineitem), t AS (SELECT * FROM d WHERE split = 'train'),
+ v AS (SELECT l_returnflag AS y, 'l_quantity' AS feature, l_quantity::DOUBLE AS threshold FROM t UNION ALL SELECT l_returnflag, 'l_linenumber', l_linenumber FROM t),
+ ks AS (SELECT l_returnflag AS k, count(*)::DOUBLE AS c, (SELECT count(*) FROM t)::DOUBLE AS n FROM t GROUP BY 1),
+ cells AS (SELECT k, feature, threshold, any_value(n) AS n, any_value(c) AS c, any_value(c / n) AS p, count(*)::DOUBLE AS m, count(*) FILTER (WHERE y = k)::DOUBLE AS mc FROM v, ks GROUP BY 1, 2, 3),
+ s AS (SELECT *, {_GL} * {_GL} / (nl * {_PQ} + 1) + {_GR} * {_GR} / ((n - nl) * {_PQ} + 1) AS gain FROM ({_SIDES}) WHERE nl >= 20 AND n - nl >= 20),
+ b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(gain, 9) DESC, feature DESC, threshold) AS place FROM s)
+SELECT k AS class, feature, threshold, {r(f'-0.1::DOUBLE * {_GL} / (nl * {_PQ} + 1)')} AS left_value, {r(f'-0.1::DOUBLE * {_GR} / ((n - nl) * {_PQ} + 1)')} AS right_value FROM b WHERE place = 1""")
+def boost_one_split(spark, sf):
+    """One round of leaf-wise boosting over three classes with one split a tree."""
+    features = ["l_quantity", "l_linenumber"]
+    rows = _line_rows(spark, sf, "l_returnflag", features)
+    model = learners.fit_learner("LeafwiseBoosting", "classification", {"max_iter": 1, "max_leaf_nodes": 2, "l2_regularization": 1.0}, rows.where("split = 'train'")).boosted
+    out = [(name, features[t["feature"][0]], model.cuts[t["feature"][0]][t["bin"][0]], t["value"][t["left"][0]], t["value"][t["right"][0]])
+           for name, t in zip("ANR", model.trees[0], strict=True)]
+    return rounded(spark.createDataFrame(out, "class string, feature string, threshold double, left_value double, right_value double"), ["left_value", "right_value"])
+
+
 # --- metrics ------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import neighbors
+from tabloom.operators import boosting, neighbors
 from tabloom.operators.kernels import FourierFeatures, tube_fit, tube_predict
 
 LARGE_ROWS = 50_000
@@ -84,6 +84,7 @@ UNDERSTOOD = {
     "PolynomialRegression": {"degree", "fit_intercept"}, "Ridge": {"alpha"}, "Lasso": {"alpha", "max_iter"}, "ElasticNet": {"alpha", "l1_ratio", "max_iter"},
     "RandomForest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap"},
     "GradientBoosting": {"learning_rate", "max_iter", "max_depth", "max_leaf_nodes", "min_samples_leaf"},
+    "LeafwiseBoosting": {"learning_rate", "max_iter", "max_depth", "max_leaf_nodes", "min_samples_leaf", "l2_regularization"},
 }
 
 
@@ -267,6 +268,19 @@ class TubeModel:
         _describe(path, {"kind": "tube", "weights": self.weights, "lift": self.lift})
 
 
+@dataclass
+class BoostedModel:
+    """Trees grown best split first on histograms, all classes together."""
+
+    boosted: boosting.Boosted
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.boosted.predict(rows)
+
+    def save(self, path: str) -> None:
+        _describe(path, {"kind": "boosted", "boosted": self.boosted.__dict__})
+
+
 def _describe(path: str, body: dict) -> None:
     spark = SparkSession.active()
     spark.createDataFrame([(json.dumps(body),)], "model string").write.mode("overwrite").parquet(f"{path}/about")
@@ -279,6 +293,8 @@ def load_model(path: str, spark: SparkSession):
         return StagedModel(PipelineModel.load(f"{path}/stages"))
     if kind == "neighbors":
         return NeighborModel(rows=spark.read.parquet(f"{path}/rows"), **body)
+    if kind == "boosted":
+        return BoostedModel(boosting.Boosted(**body["boosted"]))
     return TubeModel(**body)
 
 
@@ -286,6 +302,9 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
     info = info or facts(train, task)
     if name == "KNN":
         return NeighborModel(train.select("row_id", "features", "label"), task, params)
+    if name == "LeafwiseBoosting":
+        named = {k: params[k] for k in ("max_iter", "learning_rate", "max_leaf_nodes", "max_depth", "min_samples_leaf") if k in params}
+        return BoostedModel(boosting.fit_boosting(train, task, info.classes, l2=params.get("l2_regularization", 0.0), **named))
     if name in ("SVR", "LinearSVR"):
         lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": 128} if name == "SVR" else None
         rows = train.select(vector_to_array("features").alias("x"), "label").persist()
