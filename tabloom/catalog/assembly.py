@@ -12,6 +12,7 @@ from tabloom.operators.select import best_per
 from tabloom.plans import automl, prepare, recommend
 from tabloom.sources import bundle, results
 from tabloom.streaming import score as streams
+from tabloom.streaming import status
 
 
 def _value_model(spark, sf):
@@ -165,6 +166,19 @@ def status_current(spark, sf):
     return results.status_current(_runs(spark, sf), ["user_id"], ["ts", "event_id"], ["phase", "state"])
 
 
+@query("status_current_stream", f"""SELECT user_id, ts, event_id, event_type AS phase, {_STATE} AS state, n_events FROM (SELECT *, count(*) OVER (PARTITION BY user_id)::BIGINT AS n_events,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1""")
+def status_current_stream(spark, sf):
+    """Newest phase per run, from events that arrive in files, out of order, over several micro-batches."""
+    landed, out = shared.scratch_path(spark, "landed"), shared.scratch_path(spark, "status")
+    _runs(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(landed)
+    files = spark.read.parquet(landed)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", -(-len(files.inputFiles()) // 3)).parquet(landed)
+    changes = status.follow(arriving, ["user_id"], "ts", "event_id", ["phase", "state"])
+    status.keep(changes, out, shared.scratch_path(spark, "progress")).awaitTermination()
+    return status.current(spark, out, ["user_id"]).drop("n_late")
+
+
 @query("status_history", f"SELECT user_id, event_id, event_type AS phase, {_STATE} AS state FROM events")
 def status_history(spark, sf):
     return results.status_history(_runs(spark, sf), ["user_id"], ["ts", "event_id"]).drop("ts")

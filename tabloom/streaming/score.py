@@ -1,12 +1,12 @@
-"""Streams: scoring new rows as they arrive, and following run status."""
+"""Streams: scoring new rows as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tabloom.plans.prepare import Artifact
-from tabloom.sources import bundle, results
+from tabloom.sources import bundle
 
 
 def score_stream(rows: DataFrame, model, artifact: Artifact, out: str, checkpoint: str) -> StreamingQuery:
@@ -20,8 +20,3 @@ def score_stream(rows: DataFrame, model, artifact: Artifact, out: str, checkpoin
         bundle.score(batch, model, artifact).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def status_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The status table as a stream of events."""
-    return spark.readStream.schema(results.STATUS_SCHEMA).parquet(path)
