@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import h, query, r, rnd, rounded, table
-from tabloom.operators import cluster, learners, metrics, select, shared, split
+from tabloom.operators import cluster, learners, linkage, metrics, select, shared, split
 from tabloom.plans import search
 from tabloom.sources import results
 from tabloom.sources.tables import spread
@@ -296,6 +296,11 @@ def cluster_hierarchical(spark, sf):
     return cluster.hierarchical(_vectors(spark, sf), "vec_id", "vec", 8, "average").select("vec_id", "cluster")
 
 
+@query("cluster_hierarchical_exact")
+def cluster_hierarchical_exact(spark, sf):
+    return linkage.exact(_vectors(spark, sf), "vec_id", "vec", 8, "average").select("vec_id", "cluster")
+
+
 @query("cluster_bisecting")
 def cluster_bisecting(spark, sf):
     return cluster.bisecting(_vectors(spark, sf), "vec_id", "vec", 8).select("vec_id", "cluster")
