@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.catalog import fixtures as fx
 from tabloom.catalog.registry import h, query, r, rnd, rounded, table
 from tabloom.operators import cluster, learners, linkage, metrics, select, shared, split
+from tabloom.operators.tube import Lift, fit_tube
 from tabloom.plans import search
 from tabloom.sources import results
 from tabloom.sources.tables import spread
@@ -106,6 +108,22 @@ _learner("reg_forest", "RandomForest", "regression", {"n_estimators": 20, "max_d
 _learner("reg_gbt", "GradientBoosting", "regression", {})
 _learner("reg_linear_svr", "LinearSVR", "regression", {"C": 1.0})
 _learner("reg_svr", "SVR", "regression", {"C": 1.0})
+_learner("reg_svr_poly", "SVR", "regression", {"C": 1.0, "kernel": "poly", "degree": 3})
+
+
+@query("reg_svr_poly_bound", f"""WITH d AS (SELECT l_extendedprice AS y, {fx.split_case(KEY)} AS split FROM lineitem), t AS (SELECT y FROM d WHERE split = 'train'),
+ m AS (SELECT median(y) AS m FROM t)
+SELECT count(*)::BIGINT AS n_rows, {r('sum(greatest(abs(y - m) - 0.1, 0))', 2)} AS constant_objective, TRUE AS below_constant, TRUE AS gap_closed FROM t, m""")
+def reg_svr_poly_bound(spark, sf):
+    """The cubic machine's objective against that of the best constant, and against its own dual bound."""
+    rows = _line_rows(spark, sf, features=("l_quantity", "l_discount", "l_tax", "l_linenumber")).where("split = 'train'")
+    info, data = learners.facts(rows, "regression"), rows.select(vector_to_array("features").alias("x"), "label").persist()
+    found = fit_tube(data, "x", "label", Lift(info.width, 3, 1.0 / (info.width * info.variance)))
+    middle = data.agg(F.median("label")).first()[0]
+    loss = F.sum(F.greatest(F.abs(F.col("label") - F.lit(middle)) - 0.1, F.lit(0.0)))
+    out = data.agg(F.count(F.lit(1)).alias("n_rows"), loss.alias("constant_objective"))
+    return rounded(out, ["constant_objective"], 2).withColumns({
+        "below_constant": F.col("constant_objective") > found.primal, "gap_closed": F.lit(0 <= found.primal - found.dual <= 1e-3 * found.primal)})
 
 
 _SIDES = """SELECT k, feature, threshold, n, c, p, sum(m) OVER w AS nl, sum(mc) OVER w AS cl FROM cells WINDOW w AS (PARTITION BY k, feature ORDER BY threshold)"""

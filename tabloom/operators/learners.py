@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import boosting, neighbors
 from tabloom.operators.kernels import FourierFeatures, tube_fit, tube_predict
+from tabloom.operators.tube import Lift, fit_tube, predict_tube
 
 LARGE_ROWS = 50_000
 NO_DEPTH_LIMIT = 30
@@ -80,7 +81,7 @@ WIDE_REGRESSION_GRIDS = {
 # Parameters each learner understands here; the rest of a grid has no MLlib counterpart.
 UNDERSTOOD = {
     "LogisticRegression": {"C"}, "KNN": {"n_neighbors", "weights", "metric"}, "DecisionTree": {"max_depth", "min_samples_leaf"},
-    "SVC": {"C", "gamma"}, "LinearSVC": {"C"}, "SVR": {"C", "gamma", "epsilon"}, "LinearSVR": {"C", "epsilon"}, "LinearRegression": set(),
+    "SVC": {"C", "gamma"}, "LinearSVC": {"C"}, "SVR": {"C", "gamma", "epsilon", "kernel", "degree"}, "LinearSVR": {"C", "epsilon"}, "LinearRegression": set(),
     "PolynomialRegression": {"degree", "fit_intercept"}, "Ridge": {"alpha"}, "Lasso": {"alpha", "max_iter"}, "ElasticNet": {"alpha", "l1_ratio", "max_iter"},
     "RandomForest": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap"},
     "GradientBoosting": {"learning_rate", "max_iter", "max_depth", "max_leaf_nodes", "min_samples_leaf"},
@@ -95,7 +96,11 @@ def dropped_parameters(name: str, grid: dict) -> list[str]:
 def combinations(name: str, grid: dict) -> list[dict]:
     """Distinct combinations of the parameters that have a counterpart here."""
     used = {k: v for k, v in grid.items() if k in UNDERSTOOD[name]}
-    return [dict(zip(used, values)) for values in itertools.product(*used.values())]
+    found = [dict(zip(used, values)) for values in itertools.product(*used.values())]
+    if name == "SVR":
+        idle = {"rbf": {"degree"}, "linear": {"degree", "gamma"}}
+        found = [{k: v for k, v in one.items() if k not in idle.get(one.get("kernel", "rbf"), ())} for one in found]
+    return [one for i, one in enumerate(found) if one not in found[:i]]
 
 
 def learner_names(task: str, n_train: int) -> list[str]:
@@ -268,6 +273,20 @@ class TubeModel:
         _describe(path, {"kind": "tube", "weights": self.weights, "lift": self.lift})
 
 
+@dataclass
+class PolynomialTube:
+    """Epsilon-insensitive regression with a linear or polynomial kernel."""
+
+    weights: list[float]
+    lift: dict
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return predict_tube(rows, "features", Lift(**self.lift), self.weights)
+
+    def save(self, path: str) -> None:
+        _describe(path, {"kind": "polynomial", "weights": self.weights, "lift": self.lift})
+
+
 @dataclass
 class BoostedModel:
     """Trees grown best split first on histograms, all classes together."""
@@ -295,6 +314,8 @@ def load_model(path: str, spark: SparkSession):
         return NeighborModel(rows=spark.read.parquet(f"{path}/rows"), **body)
     if kind == "boosted":
         return BoostedModel(boosting.Boosted(**body["boosted"]))
+    if kind == "polynomial":
+        return PolynomialTube(**body)
     return TubeModel(**body)
 
 
@@ -309,6 +330,11 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
         lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": 128} if name == "SVR" else None
         rows = train.select(vector_to_array("features").alias("x"), "label").persist()
         try:
+            if params.get("kernel", "rbf") != "rbf":
+                plain = params["kernel"] == "linear"
+                lift = {"width": info.width} if plain else {"width": info.width, "degree": params.get("degree", 3), "gamma": _gamma(params, info)}
+                lift |= {k: params[k] for k in ("coef0", "components") if k in params and not plain}
+                return PolynomialTube(fit_tube(rows, "x", "label", Lift(**lift), params.get("C", 1.0), params.get("epsilon", 0.1)).weights, lift)
             weights = tube_fit(rows, "x", "label", params.get("C", 1.0), params.get("epsilon", 0.1), lift=lift)
         finally:
             rows.unpersist()
