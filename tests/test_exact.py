@@ -204,3 +204,59 @@ def test_hash_split_is_stable(spark):
     a = {r.k: r["split"] for r in split.hash_split(df, ["k"]).collect()}
     b = {r.k: r["split"] for r in split.hash_split(df.repartition(9), ["k"]).collect()}
     assert a == b and 0.67 < sum(v == "train" for v in a.values()) / 3000 < 0.73
+
+
+def test_neighbors_in_regions_and_in_shared_tasks(spark, monkeypatch):
+    """Wide points, where cells are put together, beside many groups of a few rows that share tasks."""
+    from tabloom.operators import blocks
+
+    assert neighbors._packed([10, 10, 30, 5, 70, 4], 50, 0.9) == [[0], [0], [0], [1], [2, 3], [4]]
+    assert neighbors._packed([10, 70, 5], 50, 0.1) == [[0], [1, 2], [3]]
+    assert blocks.block_rows(100_000) == 12_500 and blocks.block_rows(10**7) == blocks.MOST
+    rng = np.random.default_rng(8)
+    x, groups = rng.normal(size=(700, 12)), np.r_[np.zeros(300, int), rng.integers(1, 90, 400)]
+    df = spark.createDataFrame([(i, f"g{g}", [float(c) for c in v]) for i, (g, v) in enumerate(zip(groups, x))], "id long, g string, vec array<double>").repartition(3)
+    asked = []
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbors, "_dealt", lambda *args, real=neighbors._dealt: asked.append(args) or real(*args))
+    for metric in ("euclidean", "manhattan"):
+        got = neighbors.knn_join(df, df, 3, "id", "id", "vec", by="g", metric=metric, exclude_self=True, block_rows=60).collect()
+        d = distance_matrix(x) if metric == "euclidean" else np.abs(x[:, None] - x[None]).sum(-1)
+        d[(groups[:, None] != groups[None]) | np.eye(len(x), dtype=bool)] = np.inf
+        want = {(i, int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:3]) if d[i, j] < np.inf}
+        assert {(r.id, r.neighbor, r["rank"]) for r in got} == want
+    assert len(asked) == 2
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_block_distances_keep_their_digits(offset):
+    from tabloom.operators import blocks
+
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(40, 5)) + offset
+    b = np.r_[a[:20] + 1e-7, a[:5], rng.normal(size=(30, 5)) + offset]
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    assert np.allclose(blocks.distances(a, b), want, rtol=1e-7, atol=0)
+    i, j, d = blocks.nearest(a, b, 4, "euclidean")
+    assert d.tolist() == np.sort(want, 1)[:, :4].ravel().tolist() and d.tolist() == want[i, j].tolist()
+
+
+def test_one_pass_scores_several_labellings(spark, monkeypatch):
+    """Trials share one pass over distances; repeated rows and labels beyond the matrix product count too."""
+    rng = np.random.default_rng(10)
+    x = np.r_[rng.normal(size=(60, 3)), np.repeat(rng.normal(size=(4, 3)), 5, 0)]
+    labels = [rng.integers(0, k, len(x)) for k in (2, 9)]
+    tables = [spark.createDataFrame([(i, int(c), [float(v) for v in p]) for i, (c, p) in enumerate(zip(l, x))], "id long, cluster int, vec array<double>") for l in labels]
+    want = [clusterscore.silhouette(t, "id", "cluster", "vec", 2048).first()[0] for t in tables]
+    d = distance_matrix(x)
+    for l, w in zip(labels, want):
+        sums = np.stack([d[:, l == c].sum(1) / (l == c).sum() for c in range(l.max() + 1)], 1)
+        n = np.bincount(l)[l]
+        a, sums[np.arange(len(x)), l] = sums[np.arange(len(x)), l] * n / (n - 1), np.inf
+        assert w == pytest.approx(((sums.min(1) - a) / np.maximum(a, sums.min(1))).mean())
+    passes = []
+    monkeypatch.setattr(clusterscore, "_mean_gaps", lambda *args, real=clusterscore._mean_gaps: passes.append(1) or real(*args))
+    monkeypatch.setattr(clusterscore, "DENSE", 4)
+    assert clusterscore.silhouettes(tables, "cluster", "vec", 13) == pytest.approx(want)
+    got = {r.params: r.silhouette for r in cluster.evaluate(tables[0], "id", "vec", [("KMeans", {"n_clusters": k}) for k in (2, 3)]).collect()}
+    assert len(passes) == 2 and len(got) == 2 and all(v is not None for v in got.values())
