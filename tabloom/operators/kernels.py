@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.vectors import literal, total
+from tabloom.operators.blocks import matrix
 
 
 def projection(width: int, gamma: float, seed: int, components: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,16 +75,18 @@ def tube_fit(
         def gradient(batches, w=w):
             total = np.zeros(d)
             for batch in batches:
-                x = np.stack(batch["x"])
+                if not batch.num_rows:
+                    continue
+                x = matrix(batch.column(0))
                 if lift:
                     x = fourier(x, w_in, b_in)
-                gap = batch["y"].to_numpy() - x @ w[:-1] - w[-1]
+                gap = batch.column(1).to_numpy(zero_copy_only=False) - x @ w[:-1] - w[-1]
                 sign = np.where(gap > epsilon, -1.0, np.where(gap < -epsilon, 1.0, 0.0))
                 total[:-1] += sign @ x
                 total[-1] += sign.sum()
-            yield pd.DataFrame({"i": np.arange(d), "g": total})
+            yield pa.RecordBatch.from_pydict({"i": np.arange(d, dtype=np.int32), "g": total})
 
-        sums = rows.mapInPandas(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        sums = rows.mapInArrow(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
         grad = np.zeros(d)
         grad[[r["i"] for r in sums]] = [r["g"] / n for r in sums]
         grad[:-1] += lam * w[:-1]

@@ -16,10 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.blocks import matrix
+
 #: Monomials beyond which the caller has to ask for a sketch: a pass sends their square from each task.
 MONOMIALS = 1000
 STEPS = 0.5 ** np.arange(12)
@@ -85,12 +88,12 @@ def _total(rows: DataFrame, measure) -> np.ndarray:
     def add(batches):
         total = 0.0
         for batch in batches:
-            if len(batch):
-                total = total + measure(np.stack(batch["x"]).astype(float), batch["y"].to_numpy(dtype=float))
+            if batch.num_rows:
+                total = total + measure(matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
         if np.ndim(total):
-            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(total), dtype=np.int32), "v": total})
 
-    sums = rows.mapInPandas(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
+    sums = rows.mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
     return sums["v"].to_numpy()
 
 
