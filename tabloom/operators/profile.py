@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import moments
 from tabloom.operators.quantiles import quantiles
-from tabloom.operators.shared import is_numeric, long_text, numeric_columns, quoted
+from tabloom.operators.shared import is_numeric, long_text, numeric_columns, quoted, settle
 
 COLUMNS_PER_PASS = 40
 LOW_CARDINALITY = 20
@@ -44,11 +45,30 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return counted
 
 
+def typed_distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``distinct_counts`` for tables that are cheap to read column by column: values are compared as
+    they are stored, without a row of text each. Kinds whose text may join or part values go by their text."""
+    plain, rest = [], []
+    for c in cols:
+        kind = df.schema[c].dataType
+        (plain if isinstance(kind, (T.IntegralType, T.DoubleType, T.StringType, T.BooleanType, T.DateType)) else rest).append(c)
+    parts = [distinct_counts(df, rest)] if rest else []
+    for c in plain:
+        keys = [quoted(c).alias("value")]
+        if isinstance(df.schema[c].dataType, T.DoubleType):
+            # As text, -0.0 is another value than 0.0.
+            keys.append(F.when(quoted(c) == 0, quoted(c).cast("string")).alias("zero"))
+        some = df.select(*keys).where(F.col("value").isNotNull()).distinct()
+        parts.append(some.agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
+    df = settle(df.select(*[quoted(c) for c in cols]), "profiled")
     nums = [c for c in cols if is_numeric(df.schema[c].dataType)]
     counts = wide_stats(df, cols, {"n_values": F.count, "missing_pct": lambda c: missing_share(c) * 100})
-    out = counts.join(F.broadcast(distinct_counts(df, cols)), "column", "left").fillna(0, ["n_distinct"])
+    out = counts.join(F.broadcast(typed_distinct_counts(df, cols)), "column", "left").fillna(0, ["n_distinct"])
     if nums:
         double = lambda fn: lambda c: fn(c.cast("double"))
         stats = {"mean": F.avg, "std": F.stddev_samp, "min": double(F.min), "max": double(F.max)}
