@@ -14,17 +14,22 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import boosting, neighbors
+from tabloom.operators.hinge import hinge_fit
 from tabloom.operators.kernels import FourierFeatures, tube_fit, tube_predict
 from tabloom.operators.tube import Lift, fit_tube, predict_tube
 
@@ -339,9 +344,24 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
         finally:
             rows.unpersist()
         return TubeModel(weights, lift)
+    if name == "SVC" and info.classes <= 2:
+        return StagedModel(PipelineModel(_two_class_svc(params, train, info, seed)))
     return StagedModel(Pipeline(stages=stages(name, task, params, info, seed)).fit(train))
 
 
+def _two_class_svc(params: dict, train: DataFrame, info: TrainingFacts, seed: int) -> list:
+    """The stages of ``SVC``, fitted without keeping lifted rows."""
+    fourier, svm = stages("SVC", "classification", params, info, seed)
+    lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": fourier.getOrDefault(fourier.components)}
+    rows = train.select(vector_to_array("features").alias("x"), "label").persist()
+    try:
+        weights, intercept = hinge_fit(rows, lift, svm.getRegParam(), svm.getTol(), svm.getMaxIter())
+    finally:
+        rows.unpersist()
+    made = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LinearSVCModel", svm.uid, _py2java(SparkContext._active_spark_context, Vectors.dense(weights)), intercept)
+    return [fourier, svm._copyValues(LinearSVCModel(made))]
+
+
 def to_rows(df: DataFrame, key: list[str], features: list[str], label) -> DataFrame:
     """(row_id, features, label, split when present): the form learners take."""
     extra = ["split"] if "split" in df.columns else []

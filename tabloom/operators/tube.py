@@ -82,7 +82,7 @@ class TubeFit:
     passes: int
 
 
-def _total(rows: DataFrame, measure) -> np.ndarray:
+def summed(rows: DataFrame, measure) -> np.ndarray:
     """Sum over all rows of the array that ``measure(x, y)`` gives for a batch."""
 
     def add(batches):
@@ -149,7 +149,7 @@ def fit_tube(
         return np.concatenate([*worth(phi, y, np.clip(alpha - bend * (phi @ step), -c, c)), costs])
 
     while passes < most:
-        sums = _total(rows, lambda x, y, w=w, mu=mu: state(x, y, w, mu))
+        sums = summed(rows, lambda x, y, w=w, mu=mu: state(x, y, w, mu))
         up, down, bend = sums[1:d + 3], sums[d + 3:2 * d + 5], sums[2 * d + 5:].reshape(d + 1, d + 1)
         primal = w[:d] @ w[:d] / 2 + sums[0]
         if primal < best[0]:
@@ -159,7 +159,7 @@ def fit_tube(
         curve = bend + np.diag(keep)
         curve[d, d] += 1e-12 * (1 + bend[d, d])
         step = -np.linalg.solve(curve, slope)
-        sums = _total(rows, lambda x, y, w=w, step=step, mu=mu: ahead(x, y, w, step, mu))
+        sums = summed(rows, lambda x, y, w=w, step=step, mu=mu: ahead(x, y, w, step, mu))
         bound = max(bound, _dual(up, down, d), _dual(sums[:d + 2], sums[d + 2:2 * d + 4], d))
         passes += 2
         if best[0] - bound <= tol * max(best[0], 1e-12):
