@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import boosting, neighbors
+from tabloom.operators.gbt import fit_gbt
 from tabloom.operators.hinge import hinge_fit
 from tabloom.operators.kernels import FourierFeatures, tube_fit, tube_predict
 from tabloom.operators.tube import Lift, fit_tube, predict_tube
@@ -294,7 +295,7 @@ class PolynomialTube:
 
 @dataclass
 class BoostedModel:
-    """Trees grown best split first on histograms, all classes together."""
+    """Trees grown on histograms: best split first, all classes together, or level by level."""
 
     boosted: boosting.Boosted
 
@@ -344,6 +345,10 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
         finally:
             rows.unpersist()
         return TubeModel(weights, lift)
+    if name == "GradientBoosting" and task == "regression":
+        trees = stages(name, task, params, info, seed)[0]
+        return BoostedModel(fit_gbt(
+            train, info.n, info.width, trees.getMaxIter(), trees.getStepSize(), trees.getMaxDepth(), trees.getMinInstancesPerNode(), seed))
     if name == "SVC" and info.classes <= 2:
         return StagedModel(PipelineModel(_two_class_svc(params, train, info, seed)))
     return StagedModel(Pipeline(stages=stages(name, task, params, info, seed)).fit(train))
