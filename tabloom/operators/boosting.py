@@ -71,13 +71,17 @@ def binned(x: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
 
 def leaf_of(tree: dict, x: np.ndarray) -> np.ndarray:
     feature, cut, left, right = (np.asarray(tree[name]) for name in ("feature", "bin", "left", "right"))
+    # Leaves lead to themselves, so all rows take as many steps as the deepest one.
+    leaf, here = left < 0, np.arange(len(left))
+    steps = np.stack([np.where(leaf, here, left), np.where(leaf, here, right)], axis=1).ravel()
+    depth = [0] * len(left)
+    for inner in np.flatnonzero(~leaf):
+        depth[left[inner]] = depth[right[inner]] = depth[inner] + 1
+    values, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
     node = np.zeros(len(x), dtype=int)
-    while True:
-        at = np.flatnonzero(left[node] >= 0)
-        if not len(at):
-            return node
-        here = node[at]
-        node[at] = np.where(x[at, feature[here]] > cut[here], right[here], left[here])
+    for _ in range(max(depth)):
+        node = steps.take(2 * node + (values.take(start + feature.take(node)) > cut.take(node)))
+    return node
 
 
 def advance(scores: np.ndarray, x: np.ndarray, rounds: list[list[dict]]) -> np.ndarray:

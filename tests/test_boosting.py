@@ -82,3 +82,10 @@ def test_gaps_constants_and_depth(spark, tmp_path):
     assert flat.predict(_rows(spark, [[9.0]], [0.0])).first()["prediction"] == 2.0
     with pytest.raises(ValueError, match="no labelled rows"):
         boosting.fit_boosting(rows.limit(0), "regression")
+
+
+def test_leaves_of_trees_that_are_not_full():
+    tree = {"feature": [1, 0, 0, 1, 0, 0, 0], "bin": [2, 3, 0, 0, 0, 0, 0], "left": [1, 3, -1, 5, -1, -1, -1], "right": [2, 4, -1, 6, -1, -1, -1]}
+    x = np.array([(a, b) for a in range(6) for b in range(5)])
+    want = [2 if b > 2 else 4 if a > 3 else 6 if b > 0 else 5 for a, b in x]
+    assert boosting.leaf_of(tree, x).tolist() == want and len(boosting.leaf_of(tree, np.empty((0, 0)))) == 0
