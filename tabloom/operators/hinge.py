@@ -2,7 +2,8 @@
 
 MLlib's ``LinearSVC`` keeps every lifted row, 128 doubles each, and reads them in every pass. Here only the
 narrow rows are kept. Scaling, loss, penalty and the steps (OWL-QN without an L1 term) are those of
-``LinearSVC``, so the weights agree with its weights but for the order of sums.
+``LinearSVC``, so the weights agree with its weights but for the order of sums. Rows are packed (``packed``):
+equal rows of a part are one with a weight.
 """
 
 from __future__ import annotations
@@ -11,65 +12,46 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tabloom.operators.kernels import projection
-from tabloom.operators.tube import summed
+from tabloom.operators.kernels import cosine, tiles  # noqa: F401
+from tabloom.operators.packed import pack, summed
 
-#: Rows lifted at a time; their features stay in a core's cache.
-TILE = 256
-#: sin(z) / z by powers of z squared, to the last digit for |z| up to pi / 2.
-_SINE = np.cumprod([1.0] + [-1.0 / (2 * k * (2 * k + 1)) for k in range(1, 11)])
 MEMORY, WINDOW, TRIALS, GROW = 10, 20, 20, 2.1
 
 
-def cosine(turns: np.ndarray) -> np.ndarray:
-    """cos(2 pi turns), in place."""
-    turns -= np.rint(turns)
-    np.abs(turns, out=turns)
-    z = np.subtract(0.25, turns, out=turns)
-    z *= 2 * np.pi
-    square = z * z
-    out = np.full_like(z, _SINE[-1])
-    for c in _SINE[-2::-1]:
-        out *= square
-        out += c
-    out *= z
-    return out
-
-
-def _tiles(x: np.ndarray, lift: dict):
-    w, b = projection(**lift)
-    turns, start = w / (2 * np.pi), b / (2 * np.pi)
-    for at in range(0, len(x), TILE):
-        rows = x[at : at + TILE] @ turns
-        rows += start
-        yield slice(at, at + TILE), cosine(rows)
-
-
 def hinge_fit(rows: DataFrame, lift: dict, reg: float, tol: float, max_iter: int = 100) -> tuple[np.ndarray, float]:
     """(weights, intercept) on the Fourier features of ``rows`` (x array, label 0 or 1).
 
     Minimises the mean hinge loss + reg / 2 * |weights|^2. A step is one pass, which sends a number a weight.
     """
+    parts = pack(rows.select(F.concat(F.col(rows.columns[0]), F.array(F.col(rows.columns[1]).cast("double"))))).persist()
+    try:
+        return _fit(parts, lift, reg, tol, max_iter)
+    finally:
+        parts.unpersist()
+
+
+def _fit(parts: DataFrame, lift: dict, reg: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
     d, size = lift["components"], np.sqrt(2.0 / lift["components"])
 
-    def first(x, y):
-        total = np.zeros(d + 2)
-        for _, phi in _tiles(x, lift):
-            total[:d] += phi.sum(0)
-        total[d:] = len(y), ((y != 0) & (y != 1)).sum()
+    def first(rows, n, _):
+        total, y = np.zeros(d + 2), rows[:, -1]
+        for some, phi in tiles(rows[:, :-1], lift):
+            total[:d] += n[some] @ phi
+        total[d:] = n.sum(), n[(y != 0) & (y != 1)].sum()
         return total
 
-    def second(x, y):
-        return sum(((phi - mean) ** 2).sum(0) for _, phi in _tiles(x, lift))
+    def second(rows, n, _):
+        return sum(n[some] @ (phi - mean) ** 2 for some, phi in tiles(rows[:, :-1], lift))
 
-    sums = summed(rows, first)
+    sums = summed(parts, first)
     if not len(sums):
         raise ValueError("no row to fit")
     n, mean = sums[d], sums[:d] / sums[d]
     if sums[d + 1] or not np.isfinite(mean).all():
         raise ValueError("labels have to be 0 or 1, and features finite")
-    std = size * np.sqrt(summed(rows, second) / max(n - 1, 1))
+    std = size * np.sqrt(summed(parts, second) / max(n - 1, 1))
     mean = size * mean
     live = std > 1e-12 * np.abs(mean)
     inverse = np.divide(1.0, std, out=np.zeros(d), where=live)
@@ -79,18 +61,18 @@ def hinge_fit(rows: DataFrame, lift: dict, reg: float, tol: float, max_iter: int
         """Objective and slope at each row of ``tried``, all from one pass."""
         scaled, offset = size * inverse * tried[:, :d], tried[:, d] - tried[:, :d] @ centre
 
-        def part(x, y):
-            total, sign = np.zeros((len(tried), d + 2)), 2 * y - 1
-            for some, phi in _tiles(x, lift):
+        def part(rows, weight, _):
+            total, sign = np.zeros((len(tried), d + 2)), 2 * rows[:, -1] - 1
+            for some, phi in tiles(rows[:, :-1], lift):
                 gap = 1 - sign[some] * (scaled @ phi.T + offset[:, None])
-                pull = np.where(gap > 0, -sign[some], 0.0)
+                pull = np.where(gap > 0, -sign[some] * weight[some], 0.0)
                 total[:, :d] += pull @ phi
                 total[:, d] += pull.sum(1)
-                total[:, d + 1] += np.maximum(gap, 0).sum(1)
+                total[:, d + 1] += np.maximum(gap, 0) @ weight[some]
             return total.ravel()
 
         out = []
-        for w, total in zip(tried, summed(rows, part).reshape(len(tried), d + 2) / n, strict=True):
+        for w, total in zip(tried, summed(parts, part).reshape(len(tried), d + 2) / n, strict=True):
             grad = np.append(size * inverse * total[:d] - total[d] * centre, total[d])
             shrunk = w[:d] * inverse**2
             grad[:d] += reg * shrunk

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import boosting, neighbors
 from tabloom.operators.gbt import fit_gbt
 from tabloom.operators.hinge import hinge_fit
-from tabloom.operators.kernels import FourierFeatures, tube_fit, tube_predict
+from tabloom.operators.kernels import FourierFeatures, scored, tube_fit, tube_predict
 from tabloom.operators.tube import Lift, fit_tube, predict_tube
 
 LARGE_ROWS = 50_000
@@ -225,6 +225,9 @@ class StagedModel:
     model: PipelineModel
 
     def predict(self, rows: DataFrame) -> DataFrame:
+        if len(stages := self.model.stages) == 2 and isinstance(stages[0], FourierFeatures) and isinstance(stages[1], LinearSVCModel):
+            margin = scored(F.col(stages[0].getInputCol()), stages[0].lift(), [*stages[1].coefficients.toArray().tolist(), stages[1].intercept])
+            return rows.withColumn("prediction", F.when(margin > F.lit(stages[1].getThreshold()), 1.0).otherwise(0.0))
         out = self.model.transform(rows)
         if "probability" in out.columns:
             out = out.withColumn("probability", vector_to_array("probability"))
@@ -271,9 +274,9 @@ class TubeModel:
     lift: dict | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        lifted = FourierFeatures(inputCol="features", outputCol="lifted", **self.lift).transform(rows) if self.lift else rows
-        vec = vector_to_array("lifted" if self.lift else "features")
-        return tube_predict(lifted.withColumn("_x", vec), "_x", self.weights).drop("_x", "lifted")
+        if self.lift:
+            return rows.withColumn("prediction", scored(F.col("features"), self.lift, self.weights))
+        return tube_predict(rows.withColumn("_x", vector_to_array("features")), "_x", self.weights).drop("_x")
 
     def save(self, path: str) -> None:
         _describe(path, {"kind": "tube", "weights": self.weights, "lift": self.lift})
@@ -334,17 +337,17 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
         return BoostedModel(boosting.fit_boosting(train, task, info.classes, l2=params.get("l2_regularization", 0.0), **named))
     if name in ("SVR", "LinearSVR"):
         lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": 128} if name == "SVR" else None
-        rows = train.select(vector_to_array("features").alias("x"), "label").persist()
+        rows = train.select(vector_to_array("features").alias("x"), "label")
+        if params.get("kernel", "rbf") == "rbf":
+            return TubeModel(tube_fit(rows, "x", "label", params.get("C", 1.0), params.get("epsilon", 0.1), lift=lift), lift)
+        rows.persist()
         try:
-            if params.get("kernel", "rbf") != "rbf":
-                plain = params["kernel"] == "linear"
-                lift = {"width": info.width} if plain else {"width": info.width, "degree": params.get("degree", 3), "gamma": _gamma(params, info)}
-                lift |= {k: params[k] for k in ("coef0", "components") if k in params and not plain}
-                return PolynomialTube(fit_tube(rows, "x", "label", Lift(**lift), params.get("C", 1.0), params.get("epsilon", 0.1)).weights, lift)
-            weights = tube_fit(rows, "x", "label", params.get("C", 1.0), params.get("epsilon", 0.1), lift=lift)
+            plain = params["kernel"] == "linear"
+            lift = {"width": info.width} if plain else {"width": info.width, "degree": params.get("degree", 3), "gamma": _gamma(params, info)}
+            lift |= {k: params[k] for k in ("coef0", "components") if k in params and not plain}
+            return PolynomialTube(fit_tube(rows, "x", "label", Lift(**lift), params.get("C", 1.0), params.get("epsilon", 0.1)).weights, lift)
         finally:
             rows.unpersist()
-        return TubeModel(weights, lift)
     if name == "GradientBoosting" and task == "regression":
         trees = stages(name, task, params, info, seed)[0]
         return BoostedModel(fit_gbt(
@@ -357,12 +360,8 @@ def fit_learner(name: str, task: str, params: dict, train: DataFrame, info: Trai
 def _two_class_svc(params: dict, train: DataFrame, info: TrainingFacts, seed: int) -> list:
     """The stages of ``SVC``, fitted without keeping lifted rows."""
     fourier, svm = stages("SVC", "classification", params, info, seed)
-    lift = {"width": info.width, "gamma": _gamma(params, info), "seed": seed, "components": fourier.getOrDefault(fourier.components)}
-    rows = train.select(vector_to_array("features").alias("x"), "label").persist()
-    try:
-        weights, intercept = hinge_fit(rows, lift, svm.getRegParam(), svm.getTol(), svm.getMaxIter())
-    finally:
-        rows.unpersist()
+    rows = train.select(vector_to_array("features").alias("x"), "label")
+    weights, intercept = hinge_fit(rows, fourier.lift(), svm.getRegParam(), svm.getTol(), svm.getMaxIter())
     made = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LinearSVCModel", svm.uid, _py2java(SparkContext._active_spark_context, Vectors.dense(weights)), intercept)
     return [fourier, svm._copyValues(LinearSVCModel(made))]
 
